@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from tracelake.llm import decontamination as _decon
 from tracelake.llm import line_dedup as _line
+from tracelake.llm import quality_rules as _rules
 
 QUERIES = {
     "op5_line_dedup": _line.op5_line_dedup,
+    "op6_decontamination": _decon.op6_decontamination,
+    "op9_quality_rules": _rules.op9_quality_rules,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": _line.OP5_SQL,
+    "op6_decontamination": _decon.OP6_SQL,
 }
