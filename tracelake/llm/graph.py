@@ -1,0 +1,41 @@
+"""Connected components of a table of links, as Spark jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracelake.llm.common import stored
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """links: a > b."""
+    low = links.groupBy("a").agg(F.min("b").alias("m"))
+    moved = links.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
+
+
+def roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``(node, root)`` for each node of the links ``(a, b)`` but the roots; a root is its component's smallest node.
+
+    Alternating large-star and small-star steps; each is a minimum by node,
+    pre-aggregated in the map tasks, and a join on that node, so no node's
+    neighbours are ever gathered in one row.
+    """
+    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, before = stored(ordered, "links"), None
+    for _ in range(max_rounds):
+        edges = stored(_small_star(_large_star(edges)), "stars")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(now) == before:
+            break
+        before = tuple(now)
+    else:
+        raise RuntimeError(f"no end after {max_rounds} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
