@@ -8,8 +8,10 @@ from tracelake.llm import packing as _pack
 from tracelake.llm import quality_rules as _rules
 from tracelake.llm import secret_scan as _secrets
 from tracelake.llm import simhash as _simhash
+from tracelake.llm import toxicity as _toxicity
 
 QUERIES = {
+    "op1_toxicity": _toxicity.op1_toxicity,
     "op2_simhash": _simhash.op2_simhash,
     "op4_secret_scan": _secrets.op4_secret_scan,
     "op5_line_dedup": _line.op5_line_dedup,
