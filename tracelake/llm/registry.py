@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracelake.llm import decontamination as _decon
 from tracelake.llm import line_dedup as _line
 from tracelake.llm import packing as _pack
+from tracelake.llm import quality_classifier as _quality
 from tracelake.llm import quality_rules as _rules
 from tracelake.llm import secret_scan as _secrets
 from tracelake.llm import simhash as _simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_decontamination": _decon.op6_decontamination,
     "op8_packing": _pack.op8_packing,
     "op9_quality_rules": _rules.op9_quality_rules,
+    "op10_quality_classifier": _quality.op10_quality_classifier,
 }
 
 ORACLE_SQL = {
