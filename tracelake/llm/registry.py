@@ -9,14 +9,18 @@ from tracelake.llm import quality_classifier as _quality
 from tracelake.llm import quality_rules as _rules
 from tracelake.llm import secret_scan as _secrets
 from tracelake.llm import simhash as _simhash
+from tracelake.llm import substring_dedup as _substring
+from tracelake.llm import suffix_dedup as _suffix
 from tracelake.llm import toxicity as _toxicity
 
 QUERIES = {
     "op1_toxicity": _toxicity.op1_toxicity,
     "op2_simhash": _simhash.op2_simhash,
+    "op3_suffix_dedup": _suffix.op3_suffix_dedup,
     "op4_secret_scan": _secrets.op4_secret_scan,
     "op5_line_dedup": _line.op5_line_dedup,
     "op6_decontamination": _decon.op6_decontamination,
+    "op7_substring_dedup": _substring.op7_substring_dedup,
     "op8_packing": _pack.op8_packing,
     "op9_quality_rules": _rules.op9_quality_rules,
     "op10_quality_classifier": _quality.op10_quality_classifier,
