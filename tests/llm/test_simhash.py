@@ -4,7 +4,7 @@ import numpy as np
 from brute import components, fingerprint
 
 from tracelake.llm import simhash
-from tracelake.llm.graph import roots
+from tracelake.operators.graph import roots
 
 
 def test_result_equals_brute_force(spark, sf_dir):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import shuffle_count, stored
-from tracelake.llm.graph import roots
+from tracelake.operators.graph import roots
 
 BITS, SEGMENTS, BLOCKS = 64, 32, 6
 LOW_OF_SEGMENT = 0x5555555555555555
