@@ -104,8 +104,10 @@ def train(
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(t)) for t in texts], pa.list_(pa.string())), batch.column(1)], ["f", "p"])
+            for at in range(0, batch.num_rows, 64):  # a few texts' features at a time
+                part = batch.slice(at, 64)
+                found = pa.array([sorted(features(t.as_py())) for t in part.column(0)], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([found, part.column(1)], ["f", "p"])
 
     found = stored(texts.select("text", "p").mapInArrow(run, "f array<string>, p int"), "toxicity-features")
     n = {r["p"]: r["n"] for r in found.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
