@@ -25,13 +25,13 @@ class Spec:
 
 
 def in_range(v: Column, spec: Spec) -> Column:
-    """NaN and null fail."""
+    """NaN fails; null gives null, which fails in ``where`` and leaves the bounds to be pushed to the scan."""
     ok = v.isNotNull() & ~F.isnan(v)
     if spec.lo is not None:
         ok = ok & (v >= spec.lo if spec.lo_inc else v > spec.lo)
     if spec.hi is not None:
         ok = ok & (v <= spec.hi if spec.hi_inc else v < spec.hi)
-    return F.coalesce(ok, F.lit(False))
+    return ok
 
 
 def with_masks(df: DataFrame, specs: Sequence[Spec], order: str = "row_id") -> DataFrame:
@@ -44,7 +44,8 @@ def with_masks(df: DataFrame, specs: Sequence[Spec], order: str = "row_id") -> D
     for a, m in trace:
         df = df.withColumn(f"__{m}_{a}", trace_aggregate_over(m, a, order, w))
     for i, s in enumerate(specs):
-        df = df.withColumn(f"ok{i}", in_range(F.col(s.attribute if s.mode == "loc" else f"__{s.mode}_{s.attribute}").cast("double"), s))
+        v = F.col(s.attribute if s.mode == "loc" else f"__{s.mode}_{s.attribute}").cast("double")
+        df = df.withColumn(f"ok{i}", F.coalesce(in_range(v, s), F.lit(False)))
     return df.drop(*(f"__{m}_{a}" for a, m in trace))
 
 

@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from tracelake.functions import geometry as G
 from tracelake.functions.aggregates import TRACE_AGGREGATES, trace_aggregate
-from tracelake.operators import binning, channels, filters, graph, histogram, selection, spatial, traces
+from tracelake.operators import binning, channels, filters, graph, histogram, models, particles, segmentation, selection, spatial, traces
 from tracelake.operators.filters import Spec, TimeWindow
 from tracelake.plans.roles import sql, view
+from tracelake.sources import sinks
+from tracelake.streaming import traces as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -605,3 +607,163 @@ def _(spark, d):
     m = points(spark, d).groupBy("tid").agg(F.var_samp("x").alias("a"), F.var_samp("y").alias("b"), F.covar_samp("x", "y").alias("c"), F.count(F.lit(1)).alias("n")).where("n >= 5")
     h, g = (F.col("a") + F.col("b")) / 2, F.sqrt(F.pow((F.col("a") - F.col("b")) / 2, 2) + F.col("c") * F.col("c"))
     return m.select("tid", (4 * F.sqrt(h + g)).alias("major"), (4 * F.sqrt(F.greatest(h - g, F.lit(0.0)))).alias("minor"), (F.degrees(F.atan2(2 * F.col("c"), F.col("a") - F.col("b"))) / 2).alias("angle"))
+
+
+# ---- models ----------------------------------------------------------------------------------------------------
+
+
+@query("equal_population", f"WITH q AS (SELECT quantile_cont(x, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM {POINTS}) SELECT CAST(unnest(range(0, 6)) AS BIGINT) AS part, round(CAST(unnest(q) AS double) + {SHIFT:.9f}, 4) + 0.0 AS cut FROM q")
+def _(spark, d):
+    return models.equal_population(points(spark, d), "x", 5)
+
+
+_PROFILE = f"(SELECT CAST(floor(x / 20) AS BIGINT) AS bin, count(*) AS n FROM {POINTS} GROUP BY 1)"
+
+
+def _profile(spark, d):
+    return points(spark, d).groupBy(F.floor(F.col("x") / 20).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("period_spectrum", f"""WITH p AS {_PROFILE}, s AS (SELECT min(bin) AS b0, max(bin) AS b1, sum(n) AS t FROM p), f AS (SELECT unnest(range(b0, b1 + 1)) AS bin, b0, b1 - b0 + 1 AS k, t / (b1 - b0 + 1) AS m FROM s),
+ r AS (SELECT (f.bin - b0) * 20.0 AS pos, (coalesce(n, 0) - m) * (0.5 - 0.5 * cos(2 * pi() * (f.bin - b0) / (k - 1))) AS v FROM f LEFT JOIN p ON f.bin = p.bin)
+SELECT CAST(period AS double) + 0.0 AS period, round(pow(sum(v * cos(2 * pi() * pos / period)), 2) + pow(sum(v * sin(2 * pi() * pos / period)), 2) + {SHIFT:.9f}, 4) + 0.0 AS power FROM r, (SELECT unnest([100, 150, 250, 400, 800]) AS period) GROUP BY period""")
+def _(spark, d):
+    return models.period_spectrum(_profile(spark, d), 20.0, [100, 150, 250, 400, 800])
+
+
+@query("autocorrelation", f"""WITH p AS {_PROFILE}, c AS (SELECT bin, n - avg(n) OVER () AS v FROM p), r AS (SELECT l AS lag, avg(a.v * b.v) AS r FROM c a, c b, (SELECT unnest(range(0, 11)) AS l) WHERE b.bin = a.bin + l GROUP BY l)
+SELECT lag, {r('r / (SELECT r FROM r WHERE lag = 0)', 'r')} FROM r""")
+def _(spark, d):
+    return models.autocorrelation(_profile(spark, d), 10)
+
+
+@query("symmetry", f"""WITH p AS (SELECT x - avg(x) OVER () AS dx, y - avg(y) OVER () AS dy FROM {CLOUD}), q AS (SELECT *, sqrt(dx * dx + dy * dy) AS rad FROM p), h AS (SELECT floor((atan2(dy, dx) / (2 * pi()) + 0.5) * 72) AS b, count(*) AS n FROM q WHERE rad >= 0.3 * (SELECT quantile_cont(rad, 0.5) FROM q) GROUP BY 1)
+SELECT fold, {r('sqrt(pow(sum(n * cos(2 * pi() * (b + 0.5) / 72 * fold)), 2) + pow(sum(n * sin(2 * pi() * (b + 0.5) / 72 * fold)), 2)) / sum(n)', 'power')} FROM h, (SELECT unnest(range(2, 13)) AS fold) GROUP BY fold""")
+def _(spark, d):
+    return models.symmetry(view(spark, d, "cloud"))
+
+
+@query("two_gaussian_mixture")
+def _(spark, d):
+    x, n = models.binned(stream(spark, d), "eco")
+    fit = models.fit_mixture(x, n, 2)
+    rows = [(k, w, *p) for k, (w, p) in enumerate(zip(fit["weights"], fit["params"], strict=True))]
+    return spark.createDataFrame([tuple(map(float, row)) for row in rows], "component double, weight double, mean double, sigma double")
+
+
+@query("mixture_search")
+def _(spark, d):
+    fit = models.search_mixture(*models.binned(stream(spark, d), "eco", 512))
+    return spark.createDataFrame([(fit["kind"], len(fit["weights"]), float(fit["bic"]))], "kind string, k long, bic double")
+
+
+@query("ring_correlation")
+def _(spark, d):
+    return models.ring_correlation(points(spark, d), 20.0, 2)
+
+
+@query("time_window_drift")
+def _(spark, d):
+    p = points(spark, d)
+    e = p.agg(F.min("tim").alias("a"), F.max("tim").alias("b")).first()
+    return models.drift(p, (e["b"] - e["a"]) / 8.01, 50.0)
+
+
+@query("template_detections")
+def _(spark, d):
+    return segmentation.detections(view(spark, d, "cloud"), 10.0, "gaussian", 40.0, 10.0, 0.5).select("x", "y", "score")
+
+
+@query("ridge_skeleton")
+def _(spark, d):
+    return segmentation.skeleton(points(spark, d), 20.0)
+
+
+# ---- particles -------------------------------------------------------------------------------------------------
+
+
+def _particles(spark, d):
+    return view(spark, d, "cloud").withColumn("particle", F.col("tid"))
+
+
+@query("centred_particles", f"SELECT id, {r('x - avg(x) OVER (PARTITION BY tid)', 'x')}, {r('y - avg(y) OVER (PARTITION BY tid)', 'y')}, {r('z - avg(z) OVER (PARTITION BY tid)', 'z')} FROM {CLOUD}")
+def _(spark, d):
+    return particles.centred(_particles(spark, d)).select("id", "x", "y", "z")
+
+
+@query("pooled_transforms", f"SELECT tid AS particle, {r('x * 0.6 - y * 0.8 + tid', 'x')}, {r('x * 0.8 + y * 0.6', 'y')}, {r('z - 2 * tid', 'z')} FROM {CLOUD}")
+def _(spark, d):
+    m = _particles(spark, d).select("particle").distinct().select("particle", F.array(*(F.lit(v).cast("double") if not isinstance(v, str) else F.expr(v).cast("double") for v in [0.6, -0.8, 0, "particle", 0.8, 0.6, 0, 0, 0, 0, 1, "-2 * particle", 0, 0, 0, 1])).alias("m"))
+    return particles.pooled(_particles(spark, d), m)
+
+
+@query("symmetrized", f"""SELECT id, {r('x * cos(pi() / 2 * k) - y * sin(pi() / 2 * k)', 'x')}, {r('x * sin(pi() / 2 * k) + y * cos(pi() / 2 * k)', 'y')} FROM {CLOUD}, (SELECT unnest(range(0, 4)) AS k)""")
+def _(spark, d):
+    return particles.symmetrized(_particles(spark, d), 4).select("id", "x", "y")
+
+
+@query("cloud_overlap", f"SELECT {r('sum(exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) / 14400))', 'overlap')} FROM {CLOUD} a, {CLOUD} b WHERE a.tid = 1 AND b.tid = 2 AND abs(a.x - b.x) <= 480 AND abs(a.y - b.y) <= 480")
+def _(spark, d):
+    return particles.overlap(_particles(spark, d), 1, 2, 60.0)
+
+
+@query("hull_shapes")
+def _(spark, d):
+    return particles.hull_shapes(particles.hull(_particles(spark, d)))
+
+
+@query("particle_average")
+def _(spark, d):
+    return particles.averaged(_particles(spark, d), 20.0, 32, rounds=2).select("particle", "x", "y", "score")
+
+
+@query("separated_peaks")
+def _(spark, d):
+    p = points(spark, d).select("id", "x", "y", F.col("z").alias("score"))
+    return spatial.apart(p, 30.0)
+
+
+@query("frames_by_time", f"SELECT id, CAST(dense_rank() OVER (ORDER BY tim) - 1 AS BIGINT) AS frame, {r('(x - min(x) OVER ()) / 160', 'x')}, {r('(y - min(y) OVER ()) / 160', 'y')} FROM {POINTS}")
+def _(spark, d):
+    return sinks.frames_by_time(points(spark, d), 160.0).select("id", "frame", "x", "y")
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------
+
+
+def _drained(result: DataFrame, mode: str, name: str) -> DataFrame:
+    """A bounded stream run to its end into a table in the shared folder."""
+    import uuid
+
+    from tracelake.storage import shared_dir
+
+    spark = result.sparkSession
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = result.schema
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={k}")
+
+    result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
+
+
+def _stream_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    static = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parque[t]")
+    return events.select(F.col("user_id").alias("tid"), F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("eco"))
+
+
+@query("stream_windows", f"SELECT CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start_us, count(*) AS n, {r('avg(value)', 'mean')} FROM events GROUP BY 1")
+def _(spark, d):
+    out = streams.windowed(_stream_of(spark, d), "ts", "eco", "1 hour")
+    return _drained(out, "complete", "stream-windows").select(F.unix_micros("start").alias("start_us"), "n", "mean")
+
+
+@query("stream_photon_bins", f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY row_id) AS k FROM {STREAM}),
+f AS (SELECT tid, k, eco AS acc, CAST(0 AS BIGINT) AS chunk FROM o WHERE k = 1
+ UNION ALL SELECT o.tid, o.k, CASE WHEN f.acc >= 500 THEN 0 ELSE f.acc END + o.eco, f.chunk + CASE WHEN f.acc >= 500 THEN 1 ELSE 0 END FROM f JOIN o ON o.tid = f.tid AND o.k = f.k + 1)
+SELECT o.tid, f.chunk, count(*) AS n, {r('sum(eco)', 'photons')} FROM f JOIN o ON o.tid = f.tid AND o.k = f.k GROUP BY 1, 2 HAVING sum(eco) >= 500""")
+def _(spark, d):
+    return _drained(streams.photon_bins(_stream_of(spark, d), 500.0), "append", "stream-bins")
