@@ -89,7 +89,8 @@ def anchored(docs: DataFrame, grams_of: Callable[[str], np.ndarray], w: int) ->
 def kept(anchors: DataFrame) -> DataFrame:
     """``(kid, kth, found)``: the anchors whose hash comes again, by document."""
     each = anchors.select("id", "th", F.explode("found").alias("f")).select("id", "th", "f.*")
-    again = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # stored, so that both sides of the join are plain exchanges, which the adaptive planner splits at a hot anchor
+    again = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "repeated-anchors")
     return (
         each.join(again, "h", "left_semi")
         .groupBy(F.col("id").alias("kid"), F.col("th").alias("kth"))
