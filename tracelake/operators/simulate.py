@@ -1,0 +1,62 @@
+"""Synthetic localization tables; every number comes from the row's id and a seed, so a table is the same each time."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.operators.resampling import uniform
+
+
+def normal(*keys) -> Column:
+    """A standard normal number from hashes."""
+    u, v = uniform(*keys, 101), uniform(*keys, 202)
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
+
+
+def molecules(spark: SparkSession, n: int, kind: str, size: float, extent: float, seed: int = 1) -> DataFrame:
+    """``(mol, x, y, z)``: ``clusters``, ``pores`` (two eightfold rings), ``filaments`` (hollow) or ``spheres``."""
+    m = spark.range(n).withColumnRenamed("id", "mol").withColumn("obj", F.floor(F.col("mol") / 32).cast("long"))
+    place = {a: uniform("obj", seed, k) * extent for k, a in enumerate("xy")}
+    turn = 2 * math.pi * uniform("obj", seed, 5)
+    if kind == "clusters":
+        off = {a: normal("mol", seed, 10 + k) * size for k, a in enumerate("xyz")}
+    elif kind == "pores":
+        a = 2 * math.pi / 8 * F.pmod("mol", F.lit(8)) + turn
+        off = {"x": size * F.cos(a), "y": size * F.sin(a), "z": F.when(F.pmod(F.floor(F.col("mol") / 8), F.lit(2)) == 0, -size / 2).otherwise(size / 2)}
+    elif kind == "filaments":
+        along, a = (uniform("mol", seed, 11) - 0.5) * 40 * size, 2 * math.pi * uniform("mol", seed, 12)
+        off = {"x": along * F.cos(turn) - size * F.cos(a) * F.sin(turn), "y": along * F.sin(turn) + size * F.cos(a) * F.cos(turn), "z": size * F.sin(a)}
+    elif kind == "spheres":
+        z, a = 2 * uniform("mol", seed, 11) - 1, 2 * math.pi * uniform("mol", seed, 12)
+        r = F.sqrt(1 - z * z)
+        off = {"x": size * r * F.cos(a), "y": size * r * F.sin(a), "z": size * z}
+    else:
+        raise ValueError(f"no structure {kind!r}")
+    return m.select("mol", "obj", (place["x"] + off["x"]).alias("x"), (place["y"] + off["y"]).alias("y"), off["z"].alias("z"))
+
+
+def localizations(mols: DataFrame, mean: float, sigma: float, seed: int = 1) -> DataFrame:
+    """About ``mean`` localizations a molecule (geometric), blurred by ``sigma``, as a canonical table with quality columns."""
+    count = F.greatest(F.lit(1), F.ceil(F.log(1 - uniform("mol", seed, 31)) / math.log(1 - 1 / max(mean, 1.0001)))).cast("int")
+    each = mols.withColumn("k", F.explode(F.sequence(F.lit(0), count - 1)))
+    out = each.select(
+        (F.col("mol") * 100_000 + F.col("k")).alias("row_id"),
+        (F.col("mol") + 1).alias("tid"),
+        F.lit(0).alias("itr"),
+        F.lit(True).alias("vld"),
+        (uniform("mol", seed, 41) * 1000 + F.col("k") * 0.01).alias("tim"),
+        *((F.col(a) + normal("mol", "k", seed, 50 + i) * sigma).alias(a) for i, a in enumerate("xyz")),
+        (100 + 20 * normal("mol", "k", seed, 60)).alias("eco"),
+        uniform("mol", "k", seed, 61).alias("cfr"),
+    )
+    return out
+
+
+def beads(spark: SparkSession, n: int, times: int, drift: tuple[float, float], jitter: float, seed: int = 1) -> DataFrame:
+    """``(gri, row_id, tim, x, y)``: fixed beads under a common linear drift per step."""
+    b = spark.range(n).withColumnRenamed("id", "gri").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    at = {a: uniform("gri", seed, i) * 10_000 + F.col("k") * d + normal("gri", "k", seed, 20 + i) * jitter for i, (a, d) in enumerate(zip("xy", drift, strict=True))}
+    return b.select("gri", (F.col("gri") * times + F.col("k")).alias("row_id"), F.col("k").cast("double").alias("tim"), at["x"].alias("x"), at["y"].alias("y"))

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions import geometry as G
 from tracelake.functions.aggregates import TRACE_AGGREGATES, trace_aggregate
-from tracelake.operators import binning, channels, filters, graph, histogram, models, particles, segmentation, selection, spatial, traces
+from tracelake.operators import binning, channels, filters, graph, histogram, models, overlay, particles, paths, resampling, segmentation, selection, spatial, traces
 from tracelake.operators.filters import Spec, TimeWindow
 from tracelake.plans.roles import sql, view
 from tracelake.sources import sinks
@@ -767,3 +768,113 @@ f AS (SELECT tid, k, eco AS acc, CAST(0 AS BIGINT) AS chunk FROM o WHERE k = 1
 SELECT o.tid, f.chunk, count(*) AS n, {r('sum(eco)', 'photons')} FROM f JOIN o ON o.tid = f.tid AND o.k = f.k GROUP BY 1, 2 HAVING sum(eco) >= 500""")
 def _(spark, d):
     return _drained(streams.photon_bins(_stream_of(spark, d), 500.0), "append", "stream-bins")
+
+
+# ---- overlays, paths and resampling ----------------------------------------------------------------------------
+
+
+@query("overlay_shift", f"""WITH p AS (SELECT *, tid % 3 AS channel FROM {POINTS}), c AS (SELECT channel, quantile_cont(x, 0.5) AS cx, quantile_cont(y, 0.5) AS cy FROM p GROUP BY channel)
+SELECT id, {r('x + (SELECT cx FROM c WHERE channel = 0) - cx', 'x')}, {r('y + (SELECT cy FROM c WHERE channel = 0) - cy', 'y')} FROM p JOIN c USING (channel)""")
+def _(spark, d):
+    return overlay.shifted_to_first(points(spark, d).withColumn("channel", F.col("tid") % 3)).select("id", "x", "y")
+
+
+_IMAGES = " UNION ALL ".join(f"SELECT {k} AS image, {k * 37.0} AS x0, {k * 11.0} AS y0, {k * 37.0 + 100} AS x1, {k * 11.0 + 80} AS y1" for k in range(40))
+
+
+@query("geometry_matches", f"""WITH i AS ({_IMAGES}), b AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS roi, min(o_orderkey % 1500) AS x0, min(o_orderkey % 440) AS y0 FROM orders GROUP BY 1), q AS (SELECT roi, x0 + 0.0 AS x0, y0 + 0.0 AS y0, x0 + 100.0 AS x1, y0 + 80.0 AS y1 FROM b),
+ e AS (SELECT CAST(image AS BIGINT) AS image, roi, greatest(abs(i.x0 - q.x0), abs(i.y0 - q.y0), abs(i.x1 - q.x1), abs(i.y1 - q.y1)) / 100.0 AS error FROM i, q) SELECT image, roi, {r('error', 'error')} FROM e WHERE error <= 0.4""")
+def _(spark, d):
+    images = spark.createDataFrame([(k, k * 37.0, k * 11.0, k * 37.0 + 100, k * 11.0 + 80) for k in range(40)], "image long, x0 double, y0 double, x1 double, y1 double")
+    o = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_custkey") % 50).cast("long").alias("roi")).agg(F.min(F.col("o_orderkey") % 1500).cast("double").alias("x0"), F.min(F.col("o_orderkey") % 440).cast("double").alias("y0"))
+    return overlay.geometry_matches(images, o.withColumn("x1", F.col("x0") + 100).withColumn("y1", F.col("y0") + 80), 0.4)
+
+
+@query("box_query", f"SELECT id FROM {POINTS} WHERE x BETWEEN 950 AND 1810 AND y BETWEEN 210 AND 777")
+def _(spark, d):
+    return overlay.box_query(histogram.cells(points(spark, d), 50.0, ["x", "y"]), 950.0, 210.0, 1810.0, 777.0, 50.0).select("id")
+
+
+@query("two_channel_ratio", f"SELECT coalesce(max(abs(eco / 100 + (1 - eco / 100) - 1)) < 0.001, false) AS two_channels FROM (SELECT * FROM {STREAM} ORDER BY row_id LIMIT 500)")
+def _(spark, d):
+    s = stream(spark, d).withColumn("a", F.col("eco") / 100).withColumn("b", 1 - F.col("a"))
+    return overlay.two_channel_ratio(s, "a", "b")
+
+
+@query("smoothed_density", f"""WITH g AS (SELECT CAST(floor(x / 50) AS BIGINT) AS a, CAST(floor(y / 50) AS BIGINT) AS b, count(*) AS n FROM {POINTS} GROUP BY 1, 2) SELECT p.a AS i_x, p.b AS i_y, p.n, {r('sum(q.n * exp(-(pow(p.a - q.a, 2) + pow(p.b - q.b, 2)) / 4.5))', 'density')}
+ FROM g p JOIN g q ON abs(p.a - q.a) <= 4 AND abs(p.b - q.b) <= 4 GROUP BY 1, 2, 3""")
+def _(spark, d):
+    return overlay.smoothed_density(points(spark, d), 50.0, 1.5)
+
+
+@query("pooled_ratio", f"WITH {ISLANDS} SELECT tid, CAST(isl AS BIGINT) AS isl, {r('sum(itr * eco) / sum(eco)', 'ratio')} FROM isl WHERE itr IN (1, 2, 4) AND eco > 0 GROUP BY tid, isl")
+def _(spark, d):
+    s = selection.with_islands(stream(spark, d)).where(F.col("itr").isin(1, 2, 4) & (F.col("eco") > 0)).withColumn("ratio", F.col("itr").cast("double"))
+    return channels.group_weighted_mean(s, "ratio", "eco", ["tid", "isl"]).withColumnRenamed("wmean", "ratio")
+
+
+_WALK = f"""(SELECT tid AS path, id AS k, x, y FROM {POINTS})"""
+
+
+@query("path_lengths", f"""WITH s AS (SELECT path, k, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS s FROM {_WALK} WINDOW w AS (PARTITION BY path ORDER BY k)) SELECT path, k, {r('sum(s) OVER (PARTITION BY path ORDER BY k ROWS UNBOUNDED PRECEDING)', 'arc')} FROM s""")
+def _(spark, d):
+    return paths.arc_lengths(points(spark, d).select(F.col("tid").alias("path"), F.col("id").alias("k"), "x", "y")).select("path", "k", "arc")
+
+
+@query("resampled_paths", f"""WITH s AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS s FROM {_WALK} WINDOW w AS (PARTITION BY path ORDER BY k)), a AS (SELECT *, sum(s) OVER (PARTITION BY path ORDER BY k ROWS UNBOUNDED PRECEDING) AS arc FROM s),
+ n AS (SELECT *, lead(arc) OVER w AS na, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM a WINDOW w AS (PARTITION BY path ORDER BY k)), f AS (SELECT *, ceil(arc / 500 - 1e-12) AS j0, ceil(na / 500 - 1e-12) - 1 AS j1 FROM n WHERE na > arc),
+ e AS (SELECT *, unnest(range(CAST(j0 AS BIGINT), CAST(j1 AS BIGINT) + 1)) AS j FROM f WHERE j1 >= j0) SELECT path, {r('j * 500', 'arc')}, {r('x + (j * 500 - arc) / (na - arc) * (nx - x)', 'x')}, {r('y + (j * 500 - arc) / (na - arc) * (ny - y)', 'y')} FROM e""")
+def _(spark, d):
+    out = paths.resampled(points(spark, d).select(F.col("tid").alias("path"), F.col("id").alias("k"), "x", "y"), 500.0)
+    return out.withColumn("arc", F.col("arc").cast("double"))
+
+
+@query("straightened_volume")
+def _(spark, d):
+    t = np.linspace(0, 1, 60)
+    line = np.stack([-200 + 400 * t, 60 * np.sin(3 * t), 40 * t], axis=1)
+    return paths.straightened(view(spark, d, "cloud"), line, 80.0, 20.0)
+
+
+@query("envelope_null")
+def _(spark, d):
+    return resampling.envelope(points(spark, d), 200.0, 20.0, 4.0, 5)
+
+
+@query("profile_excess")
+def _(spark, d):
+    p = points(spark, d)
+    return resampling.excess(spatial.pair_profile(p, 20.0, 4.0), resampling.envelope(p, 200.0, 20.0, 4.0, 5), 0, 2)
+
+
+@query("bootstrap_interval")
+def _(spark, d):
+    return resampling.bootstrap_mean(points(spark, d), "tid", "x", 100)
+
+
+@query("strata", f"SELECT id, CAST(floor((row_number() OVER (PARTITION BY tid % 5 ORDER BY x, id) - 1) / 64) AS BIGINT) AS stratum FROM {POINTS}")
+def _(spark, d):
+    return resampling.strata(points(spark, d).withColumn("g", F.col("tid") % 5), "x", 64, "g").select("id", "stratum")
+
+
+@query("within_group_pairs", f"""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM {CLOUD} a JOIN {CLOUD} b ON a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 625),
+ c(id, root) AS (SELECT id, id FROM {CLOUD} UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id WHERE c.root < e.b), m AS (SELECT id, min(root) AS g FROM c GROUP BY id)
+SELECT ma.g AS "group", a.id AS a, b.id AS b, {r('sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))', 'd')} FROM {CLOUD} a JOIN {CLOUD} b ON a.id < b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 3600 JOIN m ma ON ma.id = a.id JOIN m mb ON mb.id = b.id WHERE ma.g = mb.g""")
+def _(spark, d):
+    return resampling.within_groups(view(spark, d, "cloud"), 25.0, 60.0)
+
+
+@query("merged_sites")
+def _(spark, d):
+    return resampling.merged_sites(points(spark, d), 3.0, 6.0)
+
+
+@query("approach_removed")
+def _(spark, d):
+    return traces.without_approach(points(spark, d).withColumnRenamed("id", "row_id"), ["x", "y"], 4, 900.0).select("row_id", "tid")
+
+
+@query("anisotropy", f"""WITH c AS (SELECT tid, quantile_cont(x, 0.5) AS cx, quantile_cont(y, 0.5) AS cy, quantile_cont(z, 0.5) AS cz FROM {CLOUD} GROUP BY tid), q AS (SELECT abs(x - cx) AS x, abs(y - cy) AS y, abs(z - cz) AS z FROM {CLOUD} JOIN c USING (tid)),
+ s AS (SELECT exp(avg(CASE WHEN x > 0 THEN ln(x) END)) AS sx, exp(avg(CASE WHEN y > 0 THEN ln(y) END)) AS sy, exp(avg(CASE WHEN z > 0 THEN ln(z) END)) AS sz FROM q) SELECT {r('sx', 'sx')}, {r('sy', 'sy')}, {r('sz', 'sz')}, {r('sqrt(sx * sy) / sz', 'z_scale')} FROM s""")
+def _(spark, d):
+    return traces.anisotropy(view(spark, d, "cloud"))
