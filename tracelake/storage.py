@@ -16,9 +16,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Spark's setting that drops a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts its lineage, survives lost executors."""
+    """``df`` written to the shared folder and read again: cuts its lineage, survives lost executors.
+
+    The shuffle files of the write go when it has ended; nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
