@@ -92,50 +92,78 @@ def kept(anchors: DataFrame) -> DataFrame:
     # stored, so that both sides of the join are plain exchanges, which the adaptive planner splits at a hot anchor
     again = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "repeated-anchors")
     return (
-        each.join(again, "h", "left_semi")
+        each.join(again.hint("shuffle_hash"), "h", "left_semi")
         .groupBy(F.col("id").alias("kid"), F.col("th").alias("kth"))
         .agg(F.collect_list(F.struct("h", "pos", "lo", "n")).alias("found"))
     )
 
 
-def fragments(docs: DataFrame, kept_anchors: DataFrame, cut: Callable[[str], Callable[[int, int], bytes]], width: int) -> DataFrame:
-    """``(h, c1, c2, id, th, lo, n, off, frag)``; ``cut(text)(a, b)`` gives units a to b as bytes."""
+def fragments(docs: DataFrame, kept_anchors: DataFrame, cut: Callable[[str], tuple[bytes, Callable[[np.ndarray, np.ndarray], tuple]]], width: int) -> DataFrame:
+    """``(h, c1, c2, id, th, lo, n, off, frag)``; a task gives a class's text with its first member only.
+
+    ``cut(text)`` gives the text's units as bytes, and a function from unit
+    positions (first, end) to byte positions in them.
+    """
     kind = docs.schema["id"].dataType.simpleString()
     near = docs.join(kept_anchors, docs["id"].eqNullSafe(kept_anchors["kid"]) & (docs["th"] == kept_anchors["kth"]))
     names = ["h", "c1", "c2", "id", "th", "lo", "n", "off", "frag"]
 
     def run(batches):
+        seen: set = set()
         for batch in batches:
-            types = [pa.int64(), pa.int64(), pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            rows: list[list] = [[] for _ in names]
-
-            def out():
-                made = pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names)
-                for r in rows:
-                    r.clear()
-                return made
-
-            for i, th, text, found in zip(*(batch.column(k) for k in range(4)), strict=True):
-                units = cut(text.as_py())
-                for f in found.as_py():
-                    piece = units(f["lo"], f["lo"] + f["n"] + width - 1)
-                    digest = xxhash.xxh3_128_digest(piece)
-                    row = (f["h"], int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), i.as_py(), th.as_py(), f["lo"], f["n"], f["pos"] - f["lo"], piece)
-                    for r, v in zip(rows, row, strict=True):
-                        r.append(v)
-                    if len(rows[0]) >= 4096:
-                        yield out()
-            if rows[0]:
-                yield out()
+            for row in range(batch.num_rows):
+                data, places = cut(batch.column(2)[row].as_py())
+                found = batch.column(3)[row].values
+                h, pos, lo, n = (found.field(k).to_numpy() for k in range(4))
+                for at in range(0, len(h), 8192):
+                    part = slice(at, at + 8192)
+                    begin, end = places(lo[part], lo[part] + n[part] + width - 1)
+                    pieces = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+                    digests = [xxhash.xxh3_128_digest(x) for x in pieces]
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    for k, d in enumerate(digests):
+                        if d in seen:
+                            pieces[k] = None
+                        else:
+                            seen.add(d)
+                    both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                    size = len(pieces)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(h[part]),
+                            pa.array(np.ascontiguousarray(both[:, 0])),
+                            pa.array(np.ascontiguousarray(both[:, 1])),
+                            pa.array([batch.column(0)[row].as_py()] * size, batch.schema.field(0).type),
+                            pa.array(np.full(size, batch.column(1)[row].as_py(), dtype=np.int64)),
+                            pa.array(lo[part]),
+                            pa.array(n[part]),
+                            pa.array(pos[part] - lo[part]),
+                            pa.array(pieces, pa.binary()),
+                        ],
+                        names,
+                    )
+
+    def joined(batches):
+        """Small batches are put together, up to some thousand rows."""
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= 4096:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     schema = f"h long, c1 long, c2 long, id {kind}, th long, lo int, n int, off int, frag binary"
-    return near.select("id", "th", "text", "found").mapInArrow(run, schema)
+    return near.select("id", "th", "text", "found").mapInArrow(lambda batches: joined(run(batches)), schema)
 
 
 def classes(frags: DataFrame) -> DataFrame:
     """``(h, c1, c2, off, n, members, place, frag)``: one row for each different fragment."""
     return frags.groupBy("h", "c1", "c2").agg(
-        F.first("off").alias("off"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "th", "lo")).alias("place"), F.first("frag").alias("frag")
+        F.first("off").alias("off"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "th", "lo")).alias("place"), F.first("frag", ignorenulls=True).alias("frag")
     )
 
 
@@ -224,7 +252,7 @@ def covered(
     docs: DataFrame,
     grams_of: Callable[[str], np.ndarray],
     grams: int,
-    cut: Callable[[str], Callable[[int, int], bytes]],
+    cut: Callable[[str], tuple],
     width: int,
     marks: Callable,
     window_bytes: Callable[[bytes, int], Iterator[bytes]],
@@ -240,7 +268,7 @@ def covered(
     if anchors.groupBy("id", "th").count().where("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["id", "th"])
         anchors = stored(anchors.dropDuplicates(["id", "th"]), "anchors")
-    again = kept(anchors)
+    again = stored(kept(anchors), "kept-anchors")
     frags = stored(fragments(docs, again, cut, width), "fragments")
     reps = stored(classes(frags), "fragment-classes")
     crowded = stored(reps.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("h"), "crowded-anchors")
