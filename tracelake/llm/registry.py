@@ -29,4 +29,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_line_dedup": _line.OP5_SQL,
     "op6_decontamination": _decon.OP6_SQL,
+    "op7_substring_dedup": _substring.OP7_SQL,
+    "op9_quality_rules": _rules.OP9_SQL,
 }
