@@ -46,9 +46,12 @@ def test_runs_are_compacted_and_settle(spark):
 
 
 def test_repeated_rows_and_null_ids_of_lines(spark):
-    rows = [(None, "x"), (None, "y"), (1, "x"), (1, "x")]
+    rows = [(None, "x"), (None, "y"), (1, "x\nz"), (1, "x\nz"), (1, "q\nx")]
     got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3)
-    assert sorted((r.doc_id or 0, r.n_dropped) for r in got.collect()) == [(0, 0), (0, 1), (1, 1), (1, 1)]
+    assert sorted((r.doc_id or 0, r.n_dropped, r.kept) for r in got.collect()) == [(0, 0, "y"), (0, 1, ""), (1, 1, "q"), (1, 1, "z"), (1, 1, "z")]
+    many = "\n".join(f"line {i}" for i in range(20_000))
+    got = line_dedup(spark.createDataFrame([(i, many + f"\nown {i}") for i in range(3)], "doc_id long, text string"), min_docs=3)
+    assert sorted((r.n_dropped, r.kept) for r in got.collect()) == [(20_000, f"own {i}") for i in range(3)]
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -78,6 +81,9 @@ def test_empty_tables_of_decontamination(spark):
     docs, none = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id string, text string")
     assert [(r.n_words, r.n_hit) for r in decontaminate(docs, none).collect()] == [(2, 0)]
     assert decontaminate(docs.where("false"), none).count() == 0
+    rows = [(None, "a b"), (None, "c"), (1, "c c"), (1, "x c"), (1, "x c")]
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("i", "c")], "item_id string, text string"))
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in got.collect()) == [(0, 1, 1), (0, 2, 0), (1, 2, 1), (1, 2, 1), (1, 2, 2)]
 
 
 def test_rule_query(spark, sf_dir):

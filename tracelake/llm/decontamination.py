@@ -20,9 +20,9 @@ attached to a window as one list, so a document hit yields one row, however
 many items hold that window.
 
 Defined results: a null text has no words and no hits; items without words are
-ignored; items with equal ids count once; documents with equal ids, null
-included, share their hits' item list while each row gets its own counts from
-the rows of that id; empty tables give empty or hit-free results.
+ignored; items with equal ids count once; rows with equal id (null included) and
+equal text are one document, and each row gets its own output row; empty tables
+give empty or hit-free results.
 """
 
 from __future__ import annotations
@@ -92,15 +92,15 @@ def decontaminate(
         prints = prints.union(short.where(F.size("w") == m).select(F.explode(gram_hashes(F.col("w"), m))))
     prints = stored(prints.distinct(), "item-fingerprints")
 
-    base = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")).alias("id")
+    base = docs.select(key, words_of(F.col(text_col)).alias("w"))
     own = let(gram_hashes(F.col("w"), k), lambda h: winnow(h, span))
     for m in lengths:
         own = F.concat(own, gram_hashes(F.col("w"), m))
     marked = base.select("id", F.explode(own).alias("f")).join(small(prints), "f", "left_semi").select("id").distinct()
     marked = stored(marked, "marked-documents")
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    near = texts.join(marked, texts["id"].eqNullSafe(marked["id"]), "left_semi").select("id", words_of(F.col("t")).alias("w"))
+    near = docs.select(key, F.col(text_col).alias("t")).join(marked, "id", "left_semi").select("id", words_of(F.col("t")).alias("w"))
 
     def windows(n: int) -> DataFrame:
         grams = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
@@ -128,8 +128,8 @@ def decontaminate(
         .select(F.col("id").alias("__id"), covered(F.col("spans")).cast("long").alias("n_hit"), "items"),
         "document-hits",
     )
-    counted = docs.select(F.col(id_col), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    out = counted.join(per_doc, counted[id_col].eqNullSafe(per_doc["__id"]), "left")
+    counted = docs.select(F.col(id_col), key.alias("__key"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    out = counted.join(per_doc, F.col("__key") == F.col("__id"), "left")
     return out.select(
         id_col, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
