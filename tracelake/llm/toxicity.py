@@ -125,7 +125,7 @@ def train(
     def chosen(batches):
         index = {w: i for i, w in enumerate(known_words)}
         for batch in batches:
-            rows = [[index[w] for w in f if w in index] for f in batch.column(0).to_pylist()]
+            rows = [[index[w] for w in f.as_py() if w in index] for f in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], ["f", "p"])
 
     rows = found.mapInArrow(chosen, "f array<int>, p int").collect()  # at most max_positive + max_unlabelled
