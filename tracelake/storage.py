@@ -37,3 +37,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         else:
             spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing will read again; what was made from them must be stored itself."""
+    for df in tables:
+        jvm, root = df.sparkSession._jvm, shared_dir(df.sparkSession)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().getName() != root.rstrip("/").rsplit("/", 1)[-1]:
+                raise ValueError(f"{folder} is no stored table")
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
