@@ -31,6 +31,28 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert have == {p.doc_id: p.doc_tokens for p in pieces} and set(have) == set(fair)
 
 
+def test_stages_on_edges(spark, sf_dir):
+    """Nulls in every column, empty and repeated texts, a long text, clashing names; then no rows at all."""
+    lines_ = "\n".join(f"some line number {i} of a plain text" for i in range(3000))
+    rows = [(None, None, None, None, None, 0.9, "k", True), (1, "", "en", "s", 0, 0.9, "k", True), (2, "", "en", "s", 0, 0.1, None, None), (3, lines_, "en", "s", None, None, "k", False)]
+    rows += [(None, lines_ + " more", None, None, 1, 0.5, "k", None), (5, "a plain text", "xx", "s", 12, 0.9, "k", True), (5, "a plain text", "xx", "s", 12, 0.9, "k", True)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, hit boolean"
+    docs = spark.createDataFrame(rows, schema)
+    copies = {2}  # an empty text like that of 1
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stored(stage(spark, docs, sf_dir), "edges")
+        copies -= {2} if "SimHash" in name else set()
+        assert out.dtypes == docs.dtypes
+        assert {(r.score, r.kept, r.hit) for r in out.collect()} <= {r[5:] for r in rows}
+        ids = [r.doc_id for r in out.collect()]
+        assert ids.count(None) == 2 and ids.count(5) == 2 and 1 in ids and 3 in ids
+        assert {2} & set(ids) == copies
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= 6
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), sf_dir).count() == 0
+
+
 def test_it_is_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert sum(q.startswith("op") for q in __spark_entry__.queries()) >= 10
