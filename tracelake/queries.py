@@ -17,7 +17,7 @@ from tracelake.functions.aggregates import TRACE_AGGREGATES, trace_aggregate
 from tracelake.operators import binning, channels, filters, graph, histogram, models, overlay, particles, paths, resampling, segmentation, selection, spatial, traces
 from tracelake.operators.filters import Spec, TimeWindow
 from tracelake.plans.roles import sql, view
-from tracelake.sources import sinks
+from tracelake.sources import sinks, tables
 from tracelake.streaming import traces as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -878,3 +878,60 @@ def _(spark, d):
  s AS (SELECT exp(avg(CASE WHEN x > 0 THEN ln(x) END)) AS sx, exp(avg(CASE WHEN y > 0 THEN ln(y) END)) AS sy, exp(avg(CASE WHEN z > 0 THEN ln(z) END)) AS sz FROM q) SELECT {r('sx', 'sx')}, {r('sy', 'sy')}, {r('sz', 'sz')}, {r('sqrt(sx * sy) / sz', 'z_scale')} FROM s""")
 def _(spark, d):
     return traces.anisotropy(view(spark, d, "cloud"))
+
+
+@query("profile_half_width")
+def _(spark, d):
+    image = _image(spark, d)
+    across = segmentation.profile_across(image, [(1000.0, 600.0), (2000.0, 900.0), (3000.0, 1000.0)], 250.0, 2)
+    return models.half_width(across.select(F.col("offset").alias("x"), "v"))
+
+
+@query("merged_channel_windows", f"""WITH w AS (SELECT min(eco) AS lo, max(eco) AS hi FROM {STREAM}) SELECT CAST(least(floor((eco - lo) / ((hi - lo) / 6)), 5) AS BIGINT) AS part, count(*) AS n, {r('avg(eco)', 'mean')} FROM {STREAM}, w GROUP BY 1""")
+def _(spark, d):
+    s = stream(spark, d)
+    e = s.agg(F.min("eco").alias("lo"), F.max("eco").alias("hi")).first()
+    bins = histogram.bin_of(F.col("eco"), F.lit(e["lo"]), F.lit((e["hi"] - e["lo"]) / 6), F.lit(6))
+    return s.groupBy(bins.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.avg("eco").alias("mean"))
+
+
+@query("session_runs", """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS nw FROM events),
+ g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT CAST(user_id AS BIGINT) AS tid, epoch_us(min(ts)) AS start_us, count(*) AS n FROM g GROUP BY user_id, k""")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("long").alias("tid"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.sessions(e, "ts", "tid", "12 hours").select("tid", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("traces_of_interest", f"SELECT DISTINCT tid FROM {POINTS} WHERE tid <> 0")
+def _(spark, d):
+    return points(spark, d).where("tid <> 0").select("tid").distinct()
+
+
+@query("principal_axis", f"""WITH m AS (SELECT tid, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM {CLOUD} GROUP BY tid) SELECT tid, {r('degrees(atan2(2 * c, a - b)) / 2', 'angle')}, {r('sqrt((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c))', 'spread')} FROM m""")
+def _(spark, d):
+    m = view(spark, d, "cloud").groupBy("tid").agg(F.var_pop("x").alias("a"), F.var_pop("y").alias("b"), F.covar_pop("x", "y").alias("c"))
+    a, b, c = map(F.col, "abc")
+    return m.select("tid", (F.degrees(F.atan2(2 * c, a - b)) / 2).alias("angle"), F.sqrt((a + b) / 2 + F.sqrt(F.pow((a - b) / 2, 2) + c * c)).alias("spread"))
+
+
+@query("nested_iterations", f"""SELECT tid AS conv, CAST(row_number() OVER (PARTITION BY tid ORDER BY row_id) - 1 AS BIGINT) AS itr, {r('eco', 'eco')} FROM {LADDER}""")
+def _(spark, d):
+    rows = view(spark, d, "ladder").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("row_id", "eco"))).alias("s"))
+    nested = rows.select(F.col("tid").alias("row_id"), F.transform("s", lambda e: e.eco).alias("eco"))
+    return tables.unnested(nested).select(F.col("loc_row").alias("conv"), "itr", "eco")
+
+
+@query("canonical_positions", f"SELECT id AS row_id, tid, {r('x * 1000', 'x')}, {r('y * 1000', 'y')}, {r('z * 700', 'z')} FROM {POINTS}")
+def _(spark, d):
+    raw = points(spark, d).select(F.col("id").alias("row_id"), F.col("tid").alias("track"), F.col("x").alias("x_um"), F.col("y").alias("y_um"), F.col("z").alias("z_um"))
+    return tables.canonical(raw, {"x": "x_um", "y": "y_um", "z": "z_um", "tid": "track"}, unit="um", z_scale=0.7).select("row_id", "tid", "x", "y", "z")
+
+
+@query("column_profile", f"""WITH s AS (SELECT eco, eco - lag(eco) OVER (PARTITION BY row_id // 65536 ORDER BY row_id) AS d FROM {STREAM}) SELECT count(eco) AS n, count(DISTINCT eco) AS "distinct", {r('min(eco)', 'low')}, {r('max(eco)', 'high')}, bool_and(eco = floor(eco)) AS whole, {r('quantile_cont(abs(d), 0.5)', 'step')}, {r('avg(CASE WHEN d > 0 THEN 1.0 WHEN d <= 0 THEN 0.0 END)', 'rising')} FROM s""")
+def _(spark, d):
+    return tables.column_profile(stream(spark, d), "eco", "row_id")
+
+
+@query("filtered_snapshot", f"SELECT row_id, {r('eco', 'eco')}, avg(eco) OVER (PARTITION BY tid) BETWEEN 30 AND 50 AND eco >= 5 AS ftr FROM {STREAM}")
+def _(spark, d):
+    return sinks.snapshot(stream(spark, d), [Spec("eco", "mean", 30, 50), Spec("eco", "loc", 5)], flag=True).select("row_id", "eco", "ftr")
