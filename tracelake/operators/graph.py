@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.operators.spatial import near_pairs
-from tracelake.storage import stored
+from tracelake.storage import release, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = stored(ordered, "links"), None
     for _ in range(max_rounds):
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, stored(_small_star(_large_star(edges)), "stars")
+        release(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
