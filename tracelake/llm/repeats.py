@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import shuffle_count, stored
+from tracelake.storage import release
 
 SEGMENT = 1 << 22  # units a step; positions within it share a number with the hash
 LOW = np.uint64((1 << 24) - 1)
@@ -269,7 +270,9 @@ def covered(
         docs = docs.dropDuplicates(["id", "th"])
         anchors = stored(anchors.dropDuplicates(["id", "th"]), "anchors")
     again = stored(kept(anchors), "kept-anchors")
+    release(anchors)
     frags = stored(fragments(docs, again, cut, width), "fragments")
+    release(again)
     reps = stored(classes(frags), "fragment-classes")
     crowded = stored(reps.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("h"), "crowded-anchors")
     if crowded.limit(1).count():
@@ -280,6 +283,8 @@ def covered(
     part = stored(part, "marked-windows")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     judged = reps.select("c1", "c2", "members", "place").join(part, ["c1", "c2"], "left").where((F.col("members") > 1) | F.col("part").isNotNull())
+    judged = stored(judged, "judged-classes")  # so that the next join has two exchanges and a hot class is split
+    release(reps, part)
     rows = frags.select("c1", "c2", "id", "th", "lo", "n").join(judged, ["c1", "c2"])
     first = F.struct("id", "th", "lo").eqNullSafe(F.col("place"))
     goes = F.when(~first, whole)
