@@ -105,7 +105,7 @@ def _(spark, d):
 
 @query("value_at_iteration", f"""WITH {ISLANDS}
 SELECT row_id, {r("first_value(eco) OVER (PARTITION BY tid, isl ORDER BY CASE WHEN itr = 1 THEN 0 ELSE 1 END, row_id DESC)", 'v')},
- max(CASE WHEN itr = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY tid, isl) AS has FROM isl""")
+ CAST(max(CASE WHEN itr = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY tid, isl) AS BIGINT) AS has FROM isl""")
 def _(spark, d):
     out = selection.value_at_iteration(stream(spark, d), "eco", 1)
     w = selection.Window.partitionBy("tid", "isl")
@@ -309,7 +309,7 @@ def _(spark, d):
     return stream(spark, d).select("row_id", filters.time_channel(F.col("tim"), _TIMES).alias("channel"))
 
 
-@query("value_windows", f"SELECT row_id, CASE WHEN eco BETWEEN 0 AND 20 THEN 0 WHEN eco BETWEEN 15 AND 40 THEN 1 WHEN eco BETWEEN 50 AND 80 THEN 2 ELSE -1 END AS channel FROM {STREAM}")
+@query("value_windows", f"SELECT row_id, CAST(CASE WHEN eco BETWEEN 0 AND 20 THEN 0 WHEN eco BETWEEN 15 AND 40 THEN 1 WHEN eco BETWEEN 50 AND 80 THEN 2 ELSE -1 END AS BIGINT) AS channel FROM {STREAM}")
 def _(spark, d):
     return stream(spark, d).select("row_id", filters.value_window(F.col("eco"), [(0, 20), (15, 40), (50, 80)]).alias("channel"))
 
@@ -322,7 +322,7 @@ def _(spark, d):
 # ---- channels --------------------------------------------------------------------------------------------------
 
 
-@query("attribute_channels_mean", f"SELECT tid, CASE WHEN avg(eco) BETWEEN 0 AND 35 THEN 0 WHEN avg(eco) BETWEEN 35 AND 60 THEN 1 ELSE -1 END AS channel FROM {STREAM} GROUP BY tid")
+@query("attribute_channels_mean", f"SELECT tid, CAST(CASE WHEN avg(eco) BETWEEN 0 AND 35 THEN 0 WHEN avg(eco) BETWEEN 35 AND 60 THEN 1 ELSE -1 END AS BIGINT) AS channel FROM {STREAM} GROUP BY tid")
 def _(spark, d):
     return channels.assign_traces(stream(spark, d), "eco", [(0, 35), (35, 60)], "mean")
 
@@ -340,7 +340,7 @@ _MIX = [(0.6, 25.0, 12.0), (0.4, 80.0, 30.0)]
 _P = [f"{w} * exp(-pow((eco - {m}) / {s}, 2) / 2) / ({s} * sqrt(2 * pi()))" for w, m, s in _MIX]
 
 
-@query("posterior_labels", f"""SELECT row_id, {r(f'({_P[0]}) / (({_P[0]}) + ({_P[1]}))', 'p0')}, CASE WHEN greatest({_P[0]}, {_P[1]}) / (({_P[0]}) + ({_P[1]})) >= 0.8 THEN CASE WHEN ({_P[0]}) >= ({_P[1]}) THEN 0 ELSE 1 END ELSE -1 END AS label
+@query("posterior_labels", f"""SELECT row_id, {r(f'({_P[0]}) / (({_P[0]}) + ({_P[1]}))', 'p0')}, CASE WHEN greatest({_P[0]}, {_P[1]}) / (({_P[0]}) + ({_P[1]})) >= 0.8 THEN CAST(CASE WHEN ({_P[0]}) >= ({_P[1]}) THEN 0 ELSE 1 END AS BIGINT) ELSE -1 END AS label
  FROM {STREAM} WHERE eco < 300""")
 def _(spark, d):
     v = F.col("eco")
