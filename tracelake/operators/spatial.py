@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.aggregates import number
+from tracelake.storage import stored
 
 
 def _cell(c: str, size: float) -> Column:
@@ -88,6 +89,27 @@ def neighbour_distance(points: DataFrame, k: int, reach: float, axes: Sequence[s
     return pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") == k).select(F.col("a.id").alias("id"), F.sqrt("d2").alias("d"))
 
 
+def kth_distance(points: DataFrame, k: int, reach: float, axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """``(id, d)``: distance to the k-th nearest other point, for every point with finite axes; none if there are k points or fewer.
+
+    Points short of k neighbours within ``reach`` are searched again, each time with twice the reach.
+    """
+    p = points.select("id", *axes)
+    for c in axes:
+        p = p.where(F.abs(c) < float("inf"))  # NaN is larger
+    p = stored(p, "points")
+    left, done = p, []
+    while p.count() > k and not left.isEmpty():
+        pairs = near_pairs(left, p, reach, axes).where("a.id <> b.id")
+        w = Window.partitionBy("a.id").orderBy("d2", "b.id")
+        done.append(stored(pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") == k).select(F.col("a.id").alias("id"), F.sqrt("d2").alias("d")), "spacing"))
+        left, reach = stored(left.join(done[-1], "id", "left_anti").select("id", *axes), "short-points"), 2 * reach
+    none = p.select("id", F.lit(0.0).alias("d")).where(F.lit(False))
+    for part in done:
+        none = none.union(part)
+    return none
+
+
 def weighted_depth(points: DataFrame, radius: float, sigma: float) -> DataFrame:
     """``(id, depth)``: median of the neighbours' z by Gaussian weight of their distance in the plane."""
     p = points.select("id", "x", "y", "z")

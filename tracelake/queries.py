@@ -411,6 +411,13 @@ def _(spark, d):
     return near.agg((F.percentile("d", 0.5) * F.sqrt(F.pi() / 8)).alias("spacing"), F.count(F.lit(1)).alias("n"))
 
 
+@query("knn_spacing_all", f"""WITH n AS (SELECT a.id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.id) AS k
+ FROM {POINTS} a JOIN {POINTS} b ON a.id <> b.id) SELECT {r('quantile_cont(d, 0.5) * sqrt(pi() / 8)', 'spacing')}, count(*) AS n FROM n WHERE k = 8""")
+def _(spark, d):
+    near = spatial.kth_distance(points(spark, d), 8, 60.0)
+    return near.agg((F.percentile("d", 0.5) * F.sqrt(F.pi() / 8)).alias("spacing"), F.count(F.lit(1)).alias("n"))
+
+
 @query("weighted_depth", f"""WITH n AS (SELECT a.id, b.z, b.id AS o, exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 800) AS w FROM {POINTS} a JOIN {POINTS} b ON b.x BETWEEN a.x - 30 AND a.x + 30 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 900),
  c AS (SELECT id, z, sum(w) OVER (PARTITION BY id ORDER BY z, o ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY id) AS tot FROM n) SELECT id, {r('min(z)', 'depth')} FROM c WHERE run >= tot / 2 - 1e-12 GROUP BY id""")
 def _(spark, d):
