@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.spatial import near_pairs, squared
+
 
 def centred(df: DataFrame, axes=("x", "y", "z")) -> DataFrame:
     w = Window.partitionBy("particle")
@@ -40,14 +42,11 @@ def collapse_traces(df: DataFrame, axes=("x", "y", "z")) -> DataFrame:
     return per.join(keep, "particle", "left_anti").select("particle", "tid", *axes).unionByName(df.join(keep, "particle", "left_semi").select("particle", "tid", *axes))
 
 
-def overlap(df: DataFrame, a: int, b: int, sigma: float, most: int = 20_000) -> DataFrame:
-    """One row: summed Gaussian overlap of two particles' points, each of at most ``most`` points."""
-    one, two = (df.where(F.col("particle") == p).select(*(F.col(c).alias(f"{c}{k}") for c in "xyz")) for k, p in enumerate((a, b)))
-    if max(one.count(), two.count()) > most:
-        raise ValueError(f"particles of more than {most} points")
-    d2 = sum(F.pow(F.col(f"{c}0") - F.col(f"{c}1"), 2) for c in "xyz")
-    within = one.join(two, (F.abs(F.col("x0") - F.col("x1")) <= 8 * sigma) & (F.abs(F.col("y0") - F.col("y1")) <= 8 * sigma))
-    return within.agg(F.coalesce(F.sum(F.exp(-d2 / (4 * sigma**2))), F.lit(0.0)).alias("overlap"))
+def overlap(df: DataFrame, a: int, b: int, sigma: float) -> DataFrame:
+    """One row: summed Gaussian overlap of two particles' points, over pairs within 8 sigma by x and by y."""
+    one, two = (df.where(F.col("particle") == p).select("x", "y", "z") for p in (a, b))
+    within = near_pairs(one, two, 12 * sigma).where((F.abs(F.col("a.x") - F.col("b.x")) <= 8 * sigma) & (F.abs(F.col("a.y") - F.col("b.y")) <= 8 * sigma))
+    return within.agg(F.coalesce(F.sum(F.exp(-squared("xyz") / (4 * sigma**2))), F.lit(0.0)).alias("overlap"))
 
 
 def aligned(df: DataFrame, template: np.ndarray, pixel: float, angles: int = 36) -> DataFrame:
