@@ -3,21 +3,50 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir; in local mode, where all run on one machine, a folder of our own if it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and named is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracelake-"))
     return sc.getCheckpointDir()
 
 
 #: Spark's setting that drops a query's shuffle files as soon as the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writers = threading.Lock(), {}
+
+
+@contextmanager
+def _dropping_shuffles(spark: SparkSession):
+    """The setting on for as long as any thread of the session writes; the last one puts back what was."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        count, before = _writers.get(key, (0, None))
+        if not count:
+            before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writers[key] = (count + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            count, before = _writers.pop(key)
+            if count > 1:
+                _writers[key] = (count - 1, before)
+            elif before is None:
+                spark.conf.unset(CLEANUP)
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -27,24 +56,19 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _dropping_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def release(*tables: DataFrame) -> None:
     """Deletes tables of ``stored`` that nothing will read again; what was made from them must be stored itself."""
     for df in tables:
-        jvm, root = df.sparkSession._jvm, shared_dir(df.sparkSession)
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            if path.getParent().getName() != root.rstrip("/").rsplit("/", 1)[-1]:
-                raise ValueError(f"{folder} is no stored table")
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = getattr(df, "stored_at", None)
+        if path is None:
+            raise ValueError("no stored table")
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
