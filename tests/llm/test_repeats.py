@@ -39,20 +39,23 @@ def test_queries_equal_brute_force(spark, sf_dir):
     assert got == words_dedup(docs, 20)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_planted_bytes(spark, hot):
+@pytest.mark.parametrize("group", [256, 2])
+def test_planted_bytes(spark, group):
     docs = planted(random.Random(2), 60, ["ab ", "c", "é", "\n"])
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    for length in (40, 100, 130):
-        assert by_bytes(suffix_dedup.suffix_dedup(df, length=length, hot=hot, block_bytes=5000)) == bytes_dedup(docs, length)
+    for report, length in ((40, 40), (40, 130), (100, 130)):
+        got = suffix_dedup.suffix_dedup(df, length=length, report=report, group=group, block_bytes=5000)
+        assert by_bytes(got) == bytes_dedup(docs, length)
+        if report < length:
+            assert {r.doc_id: r.n_repeated for r in got.collect()} == {k: v[1] for k, v in bytes_dedup(docs, report).items()}
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_planted_words(spark, hot):
+@pytest.mark.parametrize("group", [256, 2])
+def test_planted_words(spark, group):
     docs = planted(random.Random(3), 60, ["a ", "b ", "c\t", "dé\n"])
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     for window in (6, 20):
-        assert by_words(substring_dedup.substring_dedup(df, window=window, hot=hot, block_bytes=5000)) == words_dedup(docs, window)
+        assert by_words(substring_dedup.substring_dedup(df, window=window, group=group, block_bytes=5000)) == words_dedup(docs, window)
 
 
 @pytest.mark.parametrize("length", [33, 95, 136, 260, 400, 509])
@@ -74,8 +77,28 @@ def test_sorted_blocks(length):
             seen[f[i : i + length], i] = seen.get((f[i : i + length], i), 0) + 1
     want = [seen[f[i : i + length], i] > 1 for f in frags for i in range(81)]
     for bucket in (1 << 19, 100):
-        got = suffix_dedup.repeated_windows(frags, np.array(off), np.array(n), length, bucket)
+        (got,) = suffix_dedup.repeated_windows(frags, np.array(off), np.array(n), (length,), bucket)
         assert got.tolist() == want
+        if length > 136:  # both depths at once; the shorter one's windows start at the same places
+            short = [f[i : i + 120] for f in frags for i in range(81)]
+            many = {(x, k % 81) for k, x in enumerate(short) if sum(short[j] == x for j in range(k % 81, len(short), 81)) > 1}
+            got = suffix_dedup.repeated_windows(frags, np.array(off), np.array(n), (120, length), bucket)
+            assert got[1].tolist() == want
+            assert got[0].tolist() == [(x, k % 81) in many for k, x in enumerate(short)]
+
+
+def test_budgets_are_met_in_production_sizes():
+    """A block of the default size has more windows than a bucket or a subtree may hold, so both methods split it."""
+    rng = random.Random(9)
+    frags = [bytes(rng.choice(b"ab ") for _ in range(700)) for _ in range(4000)]
+    n = np.full(len(frags), 301)
+    off = np.full(len(frags), 300)
+    lead = suffix_dedup.eight_bytes(np.frombuffer(b"".join(frags), dtype=np.uint8), ">")
+    assert len(list(suffix_dedup.suffix_buckets(lead, suffix_dedup.BUCKET))) > 10
+    assert not suffix_dedup.repeated_windows(frags, off, n, (400,))[0].any()
+    edges = np.array([rng.randrange(50) for _ in range(300_000)])
+    at = np.arange(len(edges) - 20)
+    assert len(substring_dedup.prefix_groups(edges, at, 20, substring_dedup.BUDGET)) > 5
 
 
 def test_small_budgets_give_the_same_trees():

@@ -9,15 +9,23 @@ window starts.  The steps, all of them Spark jobs:
 2. ``kept``: anchors whose hash occurs once in the corpus are dropped.  This
    loses no repeated window, as its anchor repeats too.
 3. ``fragments``: the units that the windows of a kept anchor cover.
-4. ``classes``: equal fragments become one class with its first place, so that
-   thousands of copies cost one row from here on.
-5. The fragments of a class are compared with others of the same anchor by an
-   operator's own method (``compare``), in blocks of bounded size.  An anchor of
-   more than ``hot`` classes isn't gathered: its windows are hashed (128 bits)
-   and aggregated, which pre-aggregates in the map tasks.
-6. ``covered``: each member of a class gets the window starts to remove, and
+4. ``classes``: equal fragments (by 128-bit hash) become one class with its
+   first place, so that thousands of copies cost one row from here on.
+5. ``compared``: the fragments of an anchor are compared with each other by an
+   operator's own method (``marks``), in blocks of bounded size.
+6. ``halved``: an anchor of more than ``group`` classes isn't compared as it is.
+   Its fragments are cut into blocks of window starts; all windows of a block
+   share its core, and only fragments with equal cores stay together.  Groups
+   that are still too large are cut again, into quarters, which makes the core longer, down
+   to single windows; equal blocks become one class.  So the number of rows that
+   meet in a task is bounded for any number of fragments, and the comparison is
+   the same for all.
+7. ``covered``: each member of a class gets the window starts to remove, and
    each document their union.
 
+Two depths may be asked for at once: anchors follow the shorter window, and the
+comparison marks each start to both depths.
+
 Places are ordered by (id, text hash, start).  Rows with equal id and equal text
 are one document.
 """
@@ -25,9 +33,11 @@ are one document.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +47,8 @@ from tracelake.storage import release
 
 SEGMENT = 1 << 22  # units a step; positions within it share a number with the hash
 LOW = np.uint64((1 << 24) - 1)
+#: Text to its units as bytes, a function from unit positions (first, end) to byte positions, and the number of units.
+Cut = Callable[[bytes], tuple[bytes, Callable[[np.ndarray, np.ndarray], tuple], int]]
 
 
 def window_anchors(grams: np.ndarray, w: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,83 +104,95 @@ def kept(anchors: DataFrame) -> DataFrame:
     each = anchors.select("id", "th", F.explode("found").alias("f")).select("id", "th", "f.*")
     # stored, so that both sides of the join are plain exchanges, which the adaptive planner splits at a hot anchor
     again = stored(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "repeated-anchors")
-    return (
+    out = stored(
         each.join(again.hint("shuffle_hash"), "h", "left_semi")
         .groupBy(F.col("id").alias("kid"), F.col("th").alias("kth"))
-        .agg(F.collect_list(F.struct("h", "pos", "lo", "n")).alias("found"))
+        .agg(F.collect_list(F.struct("h", "pos", "lo", "n")).alias("found")),
+        "kept-anchors",
     )
+    release(again)
+    return out
+
+
+def both_halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """128-bit digests as two columns of longs."""
+    both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+    return pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))
+
+
+class Once:
+    """Gives a piece's bytes the first time that a task sees its digest, then nothing."""
 
+    def __init__(self, most: int = 500_000):
+        self.seen, self.most = set(), most
 
-def fragments(docs: DataFrame, kept_anchors: DataFrame, cut: Callable[[str], tuple[bytes, Callable[[np.ndarray, np.ndarray], tuple]]], width: int) -> DataFrame:
-    """``(h, c1, c2, id, th, lo, n, off, frag)``; a task gives a class's text with its first member only.
+    def __call__(self, digest: bytes, piece: bytes) -> bytes | None:
+        if digest in self.seen:
+            return None
+        if len(self.seen) >= self.most:
+            self.seen.clear()
+        self.seen.add(digest)
+        return piece
 
-    ``cut(text)`` gives the text's units as bytes, and a function from unit
-    positions (first, end) to byte positions in them.
+
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Small batches put together."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def fragments(docs: DataFrame, kept_anchors: DataFrame, cut: Cut, widths: tuple[int, ...]) -> DataFrame:
+    """``(h, c1, c2, id, th, lo, n, m, off, frag)``; a task gives a class's text with its first member only.
+
+    A fragment has ``n`` window starts to the first width; the first ``m`` of them have room for the last one.
     """
     kind = docs.schema["id"].dataType.simpleString()
     near = docs.join(kept_anchors, docs["id"].eqNullSafe(kept_anchors["kid"]) & (docs["th"] == kept_anchors["kth"]))
-    names = ["h", "c1", "c2", "id", "th", "lo", "n", "off", "frag"]
+    names = ["h", "c1", "c2", "id", "th", "lo", "n", "m", "off", "frag"]
 
     def run(batches):
-        seen: set = set()
+        once = Once()
         for batch in batches:
             for row in range(batch.num_rows):
-                data, places = cut(batch.column(2)[row].as_py())
+                data, places, total = cut(batch.column(2)[row].as_py().encode())
                 found = batch.column(3)[row].values
                 h, pos, lo, n = (found.field(k).to_numpy() for k in range(4))
+                m = np.clip(total - widths[-1] + 1 - lo, 0, n)
+                last = np.minimum(lo + n + widths[-1] - 1, total)
                 for at in range(0, len(h), 8192):
                     part = slice(at, at + 8192)
-                    begin, end = places(lo[part], lo[part] + n[part] + width - 1)
+                    begin, end = places(lo[part], last[part])
                     pieces = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
                     digests = [xxhash.xxh3_128_digest(x) for x in pieces]
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    for k, d in enumerate(digests):
-                        if d in seen:
-                            pieces[k] = None
-                        else:
-                            seen.add(d)
-                    both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                     size = len(pieces)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h[part]),
-                            pa.array(np.ascontiguousarray(both[:, 0])),
-                            pa.array(np.ascontiguousarray(both[:, 1])),
-                            pa.array([batch.column(0)[row].as_py()] * size, batch.schema.field(0).type),
-                            pa.array(np.full(size, batch.column(1)[row].as_py(), dtype=np.int64)),
-                            pa.array(lo[part]),
-                            pa.array(n[part]),
-                            pa.array(pos[part] - lo[part]),
-                            pa.array(pieces, pa.binary()),
-                        ],
-                        names,
-                    )
-
-    def joined(batches):
-        """Small batches are put together, up to some thousand rows."""
-        held, rows = [], 0
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 4096:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    columns = [pa.array(h[part]), *both_halves(digests), pa.array([batch.column(0)[row].as_py()] * size, batch.schema.field(0).type)]
+                    columns += [pa.array(np.full(size, batch.column(1)[row].as_py(), dtype=np.int64)), *(pa.array(x[part].astype(np.int32)) for x in (lo, n, m, pos - lo))]
+                    columns.append(pa.array([once(d, x) for d, x in zip(digests, pieces, strict=True)], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"h long, c1 long, c2 long, id {kind}, th long, lo int, n int, off int, frag binary"
+    schema = f"h long, c1 long, c2 long, id {kind}, th long, lo int, n int, m int, off int, frag binary"
     return near.select("id", "th", "text", "found").mapInArrow(lambda batches: joined(run(batches)), schema)
 
 
 def classes(frags: DataFrame) -> DataFrame:
-    """``(h, c1, c2, off, n, members, place, frag)``: one row for each different fragment."""
+    """``(h, c1, c2, off, n, m, members, place, frag)``: one row for each different fragment."""
     return frags.groupBy("h", "c1", "c2").agg(
-        F.first("off").alias("off"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "th", "lo")).alias("place"), F.first("frag", ignorenulls=True).alias("frag")
+        *(F.first(k).alias(k) for k in ("off", "n", "m")),
+        F.count(F.lit(1)).alias("members"),
+        F.min(F.struct("id", "th", "lo")).alias("place"),
+        F.first("frag", ignorenulls=True).alias("frag"),
     )
 
 
-PART = "c1 long, c2 long, part array<struct<a:int,b:int>>"
+RANGES = "array<struct<a:int,b:int>>"
+RANGES_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def ranges(mask: np.ndarray) -> list[dict]:
@@ -177,120 +201,195 @@ def ranges(mask: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in edges.reshape(-1, 2)]
 
 
-def compared(reps: DataFrame, marks: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], np.ndarray], block_bytes: int) -> DataFrame:
-    """``(c1, c2, part)``: per class the marked window starts.
+def row_ranges(flags: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Flags of rows of n each, one after the other: (rows with any, their ranges)."""
+    edge = np.append(0, np.cumsum(n))
+    on = flags.astype(bool)
+    before, after = np.append(False, on[:-1]), np.append(on[1:], False)
+    before[edge[:-1][n > 0]] = False
+    after[edge[1:][n > 0] - 1] = False
+    first, last = np.flatnonzero(on & ~before), np.flatnonzero(on & ~after) + 1
+    row = np.searchsorted(edge, first, side="right") - 1
+    hit, counts = np.unique(row, return_counts=True)
+    fields = [pa.array((x - edge[row]).astype(np.int32)) for x in (first, last)]
+    values = pa.StructArray.from_arrays(fields, fields=list(RANGES_ARROW.value_type))
+    return hit, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+
+
+def compared(reps: DataFrame, marks: Callable[..., list[np.ndarray]], widths: tuple[int, ...], depths: tuple[int, ...], block_bytes: int) -> DataFrame:
+    """``(c1, c2, d, part)``: per class and depth (an index into widths) the marked window starts.
 
-    ``marks(frags, off, n, rank)`` gets the fragments of whole anchors and gives one
-    flag for each window start, all fragments' in a row; rank orders the classes'
-    first places within the block.
+    ``marks(frags, off, n, rank, widths)`` gets the fragments of whole anchors and
+    gives for each width one flag for each window start, all fragments' in a row;
+    rank orders the classes' first places within the block.
     """
-    part_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    names = ["c1", "c2", "d", "part"]
 
     def run(batches):
-        def flush(rows):
-            size = {}
-            for r in rows:
-                size[r["h"]] = size.get(r["h"], 0) + 1
-            rows = [r for r in rows if size[r["h"]] > 1]
-            if not rows:
-                return None
-            n = np.array([r["n"] for r in rows], dtype=np.int64)
-            order = sorted(range(len(rows)), key=lambda i: (rows[i]["place"]["id"] is not None, rows[i]["place"]["id"] if rows[i]["place"]["id"] is not None else 0, rows[i]["place"]["th"], rows[i]["place"]["lo"]))
-            rank = np.empty(len(rows), dtype=np.int64)
-            rank[order] = np.arange(len(rows))
-            flags = marks([r["frag"] for r in rows], np.array([r["off"] for r in rows], dtype=np.int64), n, rank)
-            out = [(r["c1"], r["c2"], ranges(x)) for r, x in zip(rows, np.split(flags, np.cumsum(n)[:-1]), strict=True) if x.any()]
-            if not out:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], part_type)], ["c1", "c2", "part"])
-
-        rows, size = [], 0
+        def flush(table):
+            h = table.column("h").to_numpy()
+            run_of = np.cumsum(np.append(False, h[1:] != h[:-1]))
+            rows = np.flatnonzero(np.bincount(run_of)[run_of] > 1)
+            if not len(rows):
+                return
+            table = table.take(pa.array(rows))
+            n, off = (table.column(k).to_numpy().astype(np.int64) for k in ("n", "off"))
+            order = pc.sort_indices(table, [(k, "ascending") for k in ("id", "th", "lo")], null_placement="at_start").to_numpy()
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            found = marks(table.column("frag").to_pylist(), off, n, rank, widths)
+            for d, flags in zip(depths, found, strict=True):
+                hit, parts = row_ranges(flags, n)
+                if len(hit):
+                    own = table.take(pa.array(hit)).combine_chunks()
+                    keys = [own.column(k).combine_chunks() for k in ("c1", "c2")]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(hit), d, dtype=np.int32)), parts.cast(RANGES_ARROW)], names)
+
+        held, size = [], 0
         for batch in batches:
-            for r in batch.to_pylist():
-                if size >= block_bytes and r["h"] != rows[-1]["h"]:
-                    if (made := flush(rows)) is not None:
-                        yield made
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r["frag"])
-        if rows and (made := flush(rows)) is not None:
-            yield made
+            held.append(batch)
+            size += batch.nbytes
+            if size >= block_bytes:
+                table = pa.Table.from_batches(held)
+                h = table.column("h").to_numpy()
+                whole = np.flatnonzero(h != h[-1])
+                if len(whole):  # the last anchor may go on
+                    yield from flush(table.slice(0, whole[-1] + 1).combine_chunks())
+                    rest = table.slice(whole[-1] + 1).combine_chunks()
+                    held, size = rest.to_batches(), rest.nbytes
+        if held:
+            yield from flush(pa.Table.from_batches(held).combine_chunks())
+
+    rows = reps.select("h", "c1", "c2", "off", "n", "place.id", "place.th", "place.lo", "frag")
+    dealt = rows.repartition(shuffle_count(reps.sparkSession), "h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, f"c1 long, c2 long, d int, part {RANGES}")
 
-    dealt = reps.select("h", "c1", "c2", "off", "n", "place", "frag").repartition(shuffle_count(reps.sparkSession), "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, PART)
 
+def blocks(reps: DataFrame, cut: Cut, width: int, size: int) -> DataFrame:
+    """Fragments cut into blocks of ``size`` window starts: ``(h, c1, c2, p1, p2, shift, off, n, m, members, place, frag)``.
 
-def hashed_windows(reps: DataFrame, window_bytes: Callable[[bytes, int], Iterator[bytes]], first_only: bool) -> DataFrame:
-    """``(c1, c2, part)`` as from ``compared``, by counting window hashes: for anchors of too many classes."""
-    kind = reps.schema["place"].dataType.simpleString()
+    Blocks follow the anchor's place in a window, so equal windows are in equal
+    blocks; ``h`` becomes the hash of the old one and the block's core, the units
+    that all its windows share; ``p1, p2`` is the class it comes from.
+    """
+    place = reps.schema["place"].dataType.simpleString()
+    names = ["h", "c1", "c2", "p1", "p2", "shift", "off", "n", "m", "members", "place", "frag"]
 
     def run(batches):
+        once = Once()
         for batch in batches:
-            for r in batch.to_pylist():
-                digests = [xxhash.xxh3_128_digest(x) for x in window_bytes(r["frag"], r["n"])]
-                k = len(digests)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64()),
-                        pa.array([int.from_bytes(d[8:], "big", signed=True) for d in digests], pa.int64()),
-                        pa.array([r["c1"]] * k, pa.int64()),
-                        pa.array([r["c2"]] * k, pa.int64()),
-                        pa.array(range(k), pa.int32()),
-                        pa.array([r["place"]] * k, batch.schema.field(3).type),
-                    ],
-                    ["w1", "w2", "c1", "c2", "j", "place"],
-                )
-
-    rows = stored(reps.select("c1", "c2", "n", "place", "frag").mapInArrow(run, f"w1 long, w2 long, c1 long, c2 long, j int, place {kind}"), "hot-windows")
-    best = rows.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    hit = rows.join(best, ["w1", "w2"])
-    if first_only:
-        hit = hit.where(~F.col("place").eqNullSafe(F.col("first")))
-    return hit.groupBy("c1", "c2").agg(F.collect_list(F.struct(F.col("j").alias("a"), (F.col("j") + 1).alias("b"))).alias("part"))
+            for row in batch.to_pylist():
+                data, places, _ = cut(row["frag"])
+                off, n = row["off"], row["n"]
+                q = np.arange((off - n + 1) // size, off // size + 1)
+                first, last = np.maximum(off - (q + 1) * size + 1, 0), np.minimum(off - q * size, n - 1)
+                pieces = [data[a:b] for a, b in zip(*(x.tolist() for x in places(first, last + width)), strict=True)]
+                cores = [data[a:b] for a, b in zip(*(x.tolist() for x in places(off - q * size, off - (q + 1) * size + 1 + width)), strict=True)]
+                head = row["h"].to_bytes(8, "little", signed=True)
+                keys = [xxhash.xxh3_64_intdigest(head + k.to_bytes(4, "little") + c) for k, c in zip(q.tolist(), cores, strict=True)]
+                digests = [xxhash.xxh3_128_digest(k.to_bytes(8, "little") + x) for k, x in zip(keys, pieces, strict=True)]
+                k = len(q)
+                columns = [pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), *both_halves(digests), *(pa.array([row[c]] * k, pa.int64()) for c in ("c1", "c2"))]
+                columns += [pa.array(x.astype(np.int32)) for x in (first, off - first, last - first + 1, last - first + 1)]
+                columns += [pa.array([row["members"]] * k, pa.int64()), pa.array([row["place"]] * k, batch.schema.field("place").type)]
+                columns.append(pa.array([once(d, x) for d, x in zip(digests, pieces, strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"h long, c1 long, c2 long, p1 long, p2 long, shift int, off int, n int, m int, members long, place {place}, frag binary"
+    out = reps.select("h", "c1", "c2", "off", "n", "members", "place", "frag").mapInArrow(lambda batches: joined(run(batches)), schema)
+    moved = F.struct("place.id", "place.th", (F.col("place.lo") + F.col("shift")).alias("lo"))
+    return out.withColumn("place", moved)
+
+
+def crowded(reps: DataFrame, group: int) -> DataFrame:
+    """The anchors of more than ``group`` classes."""
+    return stored(reps.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > group).select("h"), "crowded-anchors")
+
+
+def judged(reps: DataFrame, parts: DataFrame) -> DataFrame:
+    """Classes with ``part``, an array with the marked ranges of each depth, where a class has any or several members."""
+    found = parts.groupBy("c1", "c2", "d").agg(F.flatten(F.collect_list("part")).alias("part")).groupBy("c1", "c2").agg(F.map_from_entries(F.collect_list(F.struct("d", "part"))).alias("part"))
+    rows = reps.select("c1", "c2", "members", "place").join(found, ["c1", "c2"], "left").where((F.col("members") > 1) | F.col("part").isNotNull())
+    return stored(rows, "judged-classes")  # so that the next join has two exchanges and a hot class is split
+
+
+def going(first, whole, part, keep_first: bool):
+    """The ranges of a member of a class that go: ``whole`` where the class decides, else ``part``."""
+    if keep_first:
+        return F.when(~first.eqNullSafe(F.col("place")), whole).otherwise(part)
+    return F.when(F.col("members") > 1, whole).otherwise(part)
+
+
+def halved(reps: DataFrame, cut: Cut, marks: Callable, width: int, depth: int, size: int, keep_first: bool, group: int, block_bytes: int) -> DataFrame:
+    """``(c1, c2, d, part)`` as from ``compared``, for anchors of too many classes."""
+    kids = stored(blocks(reps, cut, width, size), "fragment-blocks")
+    own = kids.groupBy("h", "c1", "c2").agg(
+        *(F.first(k).alias(k) for k in ("off", "n", "m")), F.sum("members").alias("members"), F.min("place").alias("place"), F.first("frag", ignorenulls=True).alias("frag")
+    )
+    own = stored(own, "block-classes")
+    many = crowded(own, group)
+    if size > 1 and many.limit(1).count():
+        parts = compared(own.join(many, "h", "left_anti"), marks, (width,), (depth,), block_bytes)
+        parts = parts.union(halved(own.join(many, "h", "left_semi"), cut, marks, width, depth, max(size // 4, 1), keep_first, group, block_bytes))
+    else:  # equal blocks of one window are one class
+        parts = compared(own, marks, (width,), (depth,), block_bytes)
+    parts = stored(parts, "block-windows")
+    verdict = judged(own, parts)
+    rows = kids.select("c1", "c2", "p1", "p2", "shift", "n", F.col("place").alias("at")).join(verdict, ["c1", "c2"])
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+    gone = F.transform(going(F.col("at"), whole, F.col("part")[depth], keep_first), lambda g: F.struct((g.a + F.col("shift")).alias("a"), (g.b + F.col("shift")).alias("b")))
+    out = stored(rows.select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), F.lit(depth).alias("d"), gone.alias("part")).where("part IS NOT NULL"), "halved-windows")
+    release(kids, own, many, parts, verdict)
+    return out
 
 
 def covered(
     docs: DataFrame,
     grams_of: Callable[[str], np.ndarray],
     grams: int,
-    cut: Callable[[str], tuple],
-    width: int,
-    marks: Callable,
-    window_bytes: Callable[[bytes, int], Iterator[bytes]],
+    cut: Cut,
+    widths: tuple[int, ...],
+    marks: Callable[..., list[np.ndarray]],
     keep_first: bool,
-    hot: int,
+    group: int,
     block_bytes: int,
 ) -> DataFrame:
-    """``(kid, kth, spans)``: the units of each keyed document that go, as (start, stop) pairs in any order.
+    """``(kid, kth, spans)``: of each keyed document the units that go, as (depth, start, stop) in any order.
 
     With ``keep_first`` a window's first place stays; without, all places go.
     """
-    anchors = stored(anchored(docs, grams_of, width - grams + 1), "anchors")
+    anchors = stored(anchored(docs, grams_of, widths[0] - grams + 1), "anchors")
     if anchors.groupBy("id", "th").count().where("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["id", "th"])
         anchors = stored(anchors.dropDuplicates(["id", "th"]), "anchors")
-    again = stored(kept(anchors), "kept-anchors")
+    again = kept(anchors)
     release(anchors)
-    frags = stored(fragments(docs, again, cut, width), "fragments")
+    frags = stored(fragments(docs, again, cut, widths), "fragments")
     release(again)
     reps = stored(classes(frags), "fragment-classes")
-    crowded = stored(reps.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("h"), "crowded-anchors")
-    if crowded.limit(1).count():
-        part = compared(reps.join(crowded, "h", "left_anti"), marks, block_bytes)
-        part = part.union(hashed_windows(reps.join(crowded, "h", "left_semi"), window_bytes, keep_first))
+    many = crowded(reps, group)
+    every = tuple(range(len(widths)))
+    if many.limit(1).count():
+        hot = stored(reps.join(many, "h", "left_semi"), "crowded-classes")
+        cuts = [halved(hot.withColumn("n", F.col("m")).where("n > 0") if d and d == every[-1] else hot, cut, marks, w, d, max(1, 1 << (w.bit_length() - 2)), keep_first, group, block_bytes) for d, w in enumerate(widths)]
+        parts = reduce(DataFrame.union, [compared(reps.join(many, "h", "left_anti"), marks, widths, every, block_bytes), *cuts])
     else:
-        part = compared(reps, marks, block_bytes)
-    part = stored(part, "marked-windows")
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    judged = reps.select("c1", "c2", "members", "place").join(part, ["c1", "c2"], "left").where((F.col("members") > 1) | F.col("part").isNotNull())
-    judged = stored(judged, "judged-classes")  # so that the next join has two exchanges and a hot class is split
-    release(reps, part)
-    rows = frags.select("c1", "c2", "id", "th", "lo", "n").join(judged, ["c1", "c2"])
-    first = F.struct("id", "th", "lo").eqNullSafe(F.col("place"))
-    goes = F.when(~first, whole)
-    goes = goes.otherwise(F.col("part")) if keep_first else goes.when(F.col("members") > 1, whole).otherwise(F.col("part"))
-    spans = rows.select("id", "th", "lo", F.explode(goes).alias("g")).select("id", "th", (F.col("lo") + F.col("g.a")).alias("a"), (F.col("lo") + F.col("g.b") - 1 + width).alias("b"))
-    return spans.groupBy(F.col("id").alias("kid"), F.col("th").alias("kth")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        parts = compared(reps, marks, widths, every, block_bytes)
+    parts = stored(parts, "marked-windows")
+    verdict = judged(reps, parts)
+    release(reps, parts, many)
+    rows = frags.select("c1", "c2", "id", "th", "lo", "n", "m").join(verdict, ["c1", "c2"])
+
+    def spans_at(d: int, w: int):
+        whole = F.array(F.struct(F.lit(0).alias("a"), F.col("m" if d else "n").alias("b")))
+        gone = F.coalesce(going(F.struct("id", "th", "lo"), whole, F.col("part")[d], keep_first), F.array().cast(RANGES))
+        return F.transform(F.filter(gone, lambda g: g.b > g.a), lambda g: F.struct(F.lit(d).alias("d"), (F.col("lo") + g.a).alias("a"), (F.col("lo") + g.b - 1 + w).alias("b")))
+
+    spans = [spans_at(d, w) for d, w in enumerate(widths)]
+    each = rows.select("id", "th", F.explode(F.concat(*spans)).alias("s"))
+    out = stored(each.groupBy(F.col("id").alias("kid"), F.col("th").alias("kth")).agg(F.collect_list("s").alias("spans")), "repeated-spans")
+    release(frags, verdict)
+    return out
 
 
 def with_spans(docs: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -298,10 +397,11 @@ def with_spans(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     return docs.join(cuts, docs["id"].eqNullSafe(cuts["kid"]) & (docs["th"] == cuts["kth"]), "left").select("id", "text", "spans")
 
 
-def mask_of(n: int, spans) -> np.ndarray:
-    """Flags of n units that lie in any span."""
+def mask_of(n: int, spans: list[dict] | None, depth: int = 0) -> np.ndarray:
+    """Flags of n units that lie in any span of a depth."""
     step = np.zeros(n + 1, dtype=np.int32)
-    if spans:
-        np.add.at(step, [s["a"] for s in spans], 1)
-        np.add.at(step, [s["b"] for s in spans], -1)
+    own = [s for s in spans or () if s["d"] == depth]
+    if own:
+        np.add.at(step, [s["a"] for s in own], 1)
+        np.add.at(step, [s["b"] for s in own], -1)
     return np.cumsum(step[:-1]) > 0

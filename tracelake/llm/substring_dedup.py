@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.repeats import covered, keyed, mask_of, with_spans
 
-GRAM, EDGE = 5, 4
+GRAM, EDGE = 8, 4
+BUDGET = 1 << 15  # suffixes of a subtree
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,23 +38,23 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
 
 
-def gram_hashes(text: str) -> np.ndarray:
+def gram_hashes(text: str, size: int = GRAM) -> np.ndarray:
     h = word_hashes(text.encode().split())
-    n = len(h) - GRAM + 1
+    n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
-    for i in range(GRAM):
+    for i in range(size):
         out = (out ^ h[i : i + n]) * ODD
         out ^= out >> np.uint64(29)
     return out
 
 
-def word_cutter(text: str):
-    words = text.encode().split()
+def word_cutter(data: bytes):
+    words = data.split()
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.append(0, ends[:-1])
-    return b" ".join(words), lambda first, end: (starts[first], ends[end - 1] - 1)
+    return b" ".join(words), lambda first, end: (starts[first], ends[end - 1] - 1), len(words)
 
 
 def _names(*keys: np.ndarray) -> np.ndarray:
@@ -82,16 +83,14 @@ def _subtree(node: np.ndarray, at: np.ndarray, edges: np.ndarray, depth: int, wi
     return own, node
 
 
-def repeated_suffixes(edges: np.ndarray, at: np.ndarray, window: int, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(suffix indexes, node) for each prefix group of the suffixes that start at ``at``."""
+def prefix_groups(edges: np.ndarray, at: np.ndarray, window: int, budget: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(suffix indexes, node, depth) of groups within the budget: suffixes that share prefixes of as many words as that takes."""
     out = []
     groups = [(np.arange(len(at)), 0)]
     while groups:
         own, depth = groups.pop()
         if len(own) <= budget or depth >= window - EDGE:
-            inner, node = _subtree(np.zeros(len(own), dtype=np.int64), at[own], edges, depth, window)
-            if len(inner):
-                out.append((own[inner], node))
+            out.append((own, np.zeros(len(own), dtype=np.int64), depth))
             continue
         node = _names(edges[at[own] + depth])
         order = np.argsort(node, kind="stable")
@@ -105,14 +104,22 @@ def repeated_suffixes(edges: np.ndarray, at: np.ndarray, window: int, budget: in
             if len(group) > budget:
                 groups.append((group, depth + EDGE))
             else:
-                inner, node_at = _subtree(prefix, at[group], edges, depth + EDGE, window)
-                if len(inner):
-                    out.append((group[inner], node_at))
+                out.append((group, prefix, depth + EDGE))
             k = last + 1
     return out
 
 
-def later_windows(frags: list[bytes], n: np.ndarray, rank: np.ndarray, window: int, budget: int = 1 << 19) -> np.ndarray:
+def repeated_suffixes(edges: np.ndarray, at: np.ndarray, window: int, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(suffix indexes, node at depth ``window``) of the repeated suffixes of each group's subtree."""
+    out = []
+    for own, node, depth in prefix_groups(edges, at, window, budget):
+        inner, deep = _subtree(node, at[own], edges, depth, window)
+        if len(inner):
+            out.append((own[inner], deep))
+    return out
+
+
+def later_windows(frags: list[bytes], n: np.ndarray, rank: np.ndarray, window: int, budget: int = BUDGET) -> np.ndarray:
     """One flag for each window start of each fragment: does its word sequence start earlier in the block?"""
     pieces = [f.split(b" ") for f in frags]
     sizes = np.array([len(p) for p in pieces])
@@ -132,20 +139,17 @@ def later_windows(frags: list[bytes], n: np.ndarray, rank: np.ndarray, window: i
     return flags
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hot: int = 50_000, block_bytes: int = 2_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group: int = 256, block_bytes: int = 4_000_000) -> DataFrame:
     """``(id_col, n_words, n_removed, kept)``; kept has the words left, joined by one space."""
-    if window < max(GRAM, EDGE):
-        raise ValueError(f"window must be {max(GRAM, EDGE)} or more")
+    if window < EDGE:
+        raise ValueError(f"window must be {EDGE} or more")
     rows = keyed(docs, id_col, text_col)
 
-    def marks(frags, off, n, rank):
-        return later_windows(frags, n, rank, window)
-
-    def window_bytes(frag, n):
-        words = frag.split(b" ")
-        return (b" ".join(words[i : i + window]) for i in range(n))
+    def marks(frags, off, n, rank, windows):
+        return [later_windows(frags, n, rank, windows[0])]
 
-    cuts = covered(rows, gram_hashes, GRAM, word_cutter, window, marks, window_bytes, True, hot, block_bytes)
+    size = min(GRAM, window // 2)
+    cuts = covered(rows, lambda text: gram_hashes(text, size), size, word_cutter, (window,), marks, True, group, block_bytes)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):

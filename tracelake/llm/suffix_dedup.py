@@ -11,12 +11,13 @@ as suffixes:
   and prefix doubling, to a depth of ``31 * 2**q`` bytes;
 * the windows are dealt to buckets by their leading bytes, and one bucket at a
   time is sorted: by the bytes up to the next sample position, then ties by the
-  precomputed ranks of two or three sample suffixes, then by the few bytes after them;
-* neighbours in that order that agree in all of it agree in ``length`` bytes.
+  precomputed ranks of sample suffixes, then by the few bytes after them; a
+  window leaves the sort as soon as its leading bytes are its own;
+* what is left agrees in ``length`` bytes with a neighbour in that order.
 
 Fragments are laid out with their anchors at multiples of 31, so equal windows
 have equal residues.  A block holds whole anchors of about ``block_bytes``; a
-bucket at most about ``bucket`` windows, which bounds the sort's memory.
+bucket about ``BUCKET`` windows, which bounds the sort's memory.
 
 Defined results: null is the empty text; texts shorter than ``length`` lose
 nothing; rows with equal id and equal text are one place, and each gets the same
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.repeats import covered, keyed, mask_of, ranges, with_spans
+from tracelake.llm.repeats import RANGES, RANGES_ARROW, covered, keyed, mask_of, ranges, with_spans
 
 #: A perfect difference set: every residue modulo 31 is a difference of two of these.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-GRAM = 32
+GRAM = 32  # bytes; an anchor has as many of these as fit a quarter of a window, so that few repeat by chance
+BUCKET = 1 << 16
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -44,11 +46,11 @@ def eight_bytes(data: np.ndarray, order: str = "<") -> np.ndarray:
     return np.ndarray((max(len(data) - 7, 0),), dtype=order + "u8", buffer=data, strides=(1,))
 
 
-def gram_hashes(text: str) -> np.ndarray:
-    """Hashes of all 32-byte strings of a text."""
+def gram_hashes(text: str, size: int = GRAM) -> np.ndarray:
+    """Hashes of all strings of ``size`` bytes of a text; size is GRAM times a power of two."""
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     n = len(data) - GRAM + 1
-    if n <= 0:
+    if len(data) < size:
         return np.zeros(0, dtype=np.uint64)
     words, h = eight_bytes(data), None
     for i, odd in enumerate(ODD):
@@ -57,27 +59,93 @@ def gram_hashes(text: str) -> np.ndarray:
         h ^= h >> np.uint64(31)
         h *= np.uint64(ODD[(i + 1) % 4])
     h ^= h >> np.uint64(29)
+    reach = GRAM
+    while reach < size:
+        h = (h[:-reach] * np.uint64(ODD[0])) ^ h[reach:]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(ODD[1])
+        h ^= h >> np.uint64(29)
+        reach *= 2
     return h
 
 
-def byte_cutter(text: str):
-    return text.encode(), lambda first, end: (first, end)
+def gram_size(width: int) -> int:
+    """The longest size of at most a quarter of a window."""
+    size = GRAM
+    while 8 * size <= width:
+        size *= 2
+    return size
+
 
+def byte_cutter(data: bytes):
+    return data, lambda first, end: (first, end), len(data)
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """Ranks from 1 of rows of keys, most significant first; equal rows have equal ranks."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.cumsum(new) + 1
+
+def _rank(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1; equal keys have equal ranks."""
+    order = np.argsort(key)
+    s = key[order]
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = np.cumsum(np.append(True, s[1:] != s[:-1])[: len(key)])
     return out
 
 
-def repeated_windows(frags: list[bytes], off: np.ndarray, n: np.ndarray, length: int, bucket: int = 1 << 19) -> np.ndarray:
-    """One flag for each window start of each fragment: does its string start at another place of the block?"""
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two ranks as one number of the same order."""
+    return (a << 32) | b
+
+
+class CoverRanks:
+    """Ranks of the cover sample's suffixes to a depth of ``31 * 2**q`` bytes, for windows of ``length`` bytes or more."""
+
+    def __init__(self, data: np.ndarray, word: np.ndarray, end: int, length: int):
+        self.depth = PERIOD
+        while 2 * self.depth + 12 <= length:
+            self.depth *= 2
+        sample = np.flatnonzero(np.isin(np.arange(end) % PERIOD, COVER))
+        self.place = np.full(len(data), -1, dtype=np.int64)
+        self.place[sample] = np.arange(len(sample))
+        rank = _rank(word[sample])
+        for s in (8, 16, PERIOD - 8):
+            rank = _rank(_pair(rank, _rank(word[sample + s])))
+        reach = PERIOD
+        while reach < self.depth:
+            ahead = self.place[np.minimum(sample + reach, len(data) - 1)]
+            rank = _rank(_pair(rank, np.where(ahead >= 0, rank[ahead], 0)))
+            reach *= 2
+        self.rank, self.word = rank, word
+        residues = np.arange(PERIOD)
+        self.to_first = np.array([min((c - r) % PERIOD for c in COVER) for r in residues])  # next sample position
+        self.gap = int(self.to_first.max()) + 1
+
+    def lead(self) -> list[int]:
+        """Where the 8-byte numbers start that cover the bytes before the next sample position."""
+        return [*range(0, max(self.gap - 7, 1), 8), max(self.gap - 8, 0)]
+
+    def ties(self, start: int, stop: int) -> list:
+        """Keys for the bytes from ``start`` (or a few before) to ``stop`` of windows at p: ranks, then the last few bytes."""
+        last = (stop - self.depth - self.gap + 1) // PERIOD * PERIOD  # the last step at which every rank ends within the window
+        steps = [*range(max(start - self.gap, 0) // PERIOD * PERIOD, last, self.depth), last]
+        keys = [lambda p, s=s: self.rank[self.place[p + self.to_first[p % PERIOD] + s]] for s in steps]
+        return keys + [lambda p, s=s: self.word[p + s] for s in range(stop - 8, last + self.depth - 8, -8)]
+
+
+def _split(own: np.ndarray, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes told apart by one more key; windows that are alone in theirs go."""
+    code = _pair(node, key if key.dtype == np.int64 else _rank(key))
+    order = np.argsort(code)
+    s = code[order]
+    new = np.append(True, s[1:] != s[:-1])
+    node = np.cumsum(new)
+    several = ~(new & np.append(new[1:], True))
+    return own[order[several]], node[several]
+
+
+def repeated_windows(frags: list[bytes], off: np.ndarray, n: np.ndarray, lengths: tuple[int, ...], bucket: int = BUCKET) -> list[np.ndarray]:
+    """For each length one flag for each window start of each fragment: does its string start at another place of the block?
+
+    Lengths ascend; starts whose fragment ends before a longer length aren't marked to it.
+    """
     base, end = np.empty(len(frags), dtype=np.int64), 0
     for i, f in enumerate(frags):
         base[i] = end + (-(end + off[i])) % PERIOD
@@ -88,86 +156,86 @@ def repeated_windows(frags: list[bytes], off: np.ndarray, n: np.ndarray, length:
     word = eight_bytes(data, ">")
     total = int(n.sum())
     start = np.repeat(base - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)
-    if length < 3 * PERIOD:  # no room for sample suffixes: all bytes are the key
-        steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-        keys_of = lambda p: [word[p + s] for s in steps]
-    else:
-        depth = PERIOD
-        while 2 * depth + 12 <= length:
-            depth *= 2
-        sample = np.flatnonzero(np.isin(np.arange(end) % PERIOD, COVER))
-        place = np.full(len(data), -1, dtype=np.int64)
-        place[sample] = np.arange(len(sample))
-        rank = _dense(*(word[sample + s] for s in (0, 8, 16, PERIOD - 8)))
-        reach = PERIOD
-        while reach < depth:
-            ahead = place[np.minimum(sample + reach, len(data) - 1)]
-            rank = _dense(rank, np.where(ahead >= 0, rank[ahead], 0))
-            reach *= 2
-        residues = np.arange(PERIOD)
-        to_first = np.array([min((c - r) % PERIOD for c in COVER) for r in residues])  # next sample position
-        to_last = np.array([length - depth - min((r + length - depth - c) % PERIOD for c in COVER) for r in residues])
-        middle = [PERIOD * (depth // PERIOD // 2)] if length > 2 * depth else []  # between the two, where they don't meet
-        gap = int(max(to_first.max(), (length - depth - to_last).max())) + 1
-        steps = [*range(0, max(gap - 7, 1), 8), max(gap - 8, 0)]
-
-        def keys_of(p):
-            r = p % PERIOD
-            ranks = [rank[place[p + to_first[r] + s]] for s in [0, *middle]] + [rank[place[p + to_last[r]]]]
-            return [*(word[p + s] for s in steps), r, *ranks, *(word[p + length - 8 - s] for s in steps)]
-
-    flags = np.zeros(total, dtype=bool)
-    lead = word[start]
-    pieces = -(-total // bucket)
-    splitters = np.unique(np.sort(lead[:: max(1, total // 65536)])[:: max(1, min(total, 65536) // pieces)]) if pieces > 1 else lead[:0]
+    room = np.repeat(base + np.array([len(f) for f in frags], dtype=np.int64), n) - start
+    flags = [np.zeros(total, dtype=bool) for _ in lengths]
+    ranks = CoverRanks(data, word, end, lengths[0]) if lengths[0] >= 3 * PERIOD else None  # else no room for sample suffixes
+    for own in suffix_buckets(word[start], bucket):
+        own, node = _split(own, start[own] % PERIOD + 1, word[start[own]])
+        done = 8
+        for length, flag in zip(lengths, flags, strict=True):
+            fits = room[own] >= length
+            own, node = own[fits], node[fits]
+            if ranks is None:
+                keys = [lambda p, s=s: word[p + s] for s in [*range(done, length - 7, 8), length - 8]]
+            else:
+                keys = [lambda p, s=s: word[p + s] for s in (ranks.lead()[1:] if done == 8 else ())] + ranks.ties(done if done > 8 else 0, length)
+            for key in keys:
+                if len(own):
+                    own, node = _split(own, node, key(start[own]))
+            flag[own] = True
+            done = length
+    return flags
+
+
+def suffix_buckets(lead: np.ndarray, bucket: int):
+    """Indexes of the windows, one bucket of about ``bucket`` neighbours by leading bytes after the other."""
+    pieces = -(-len(lead) // bucket)
+    if pieces < 2:
+        yield np.arange(len(lead))
+        return
+    sample = np.sort(lead[:: max(1, len(lead) // 65536)])
+    splitters = np.unique(sample[:: max(1, len(sample) // pieces)])
     owner = np.searchsorted(splitters, lead, side="right")
     order = np.argsort(owner, kind="stable")
     bounds = np.searchsorted(owner[order], np.arange(len(splitters) + 2))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        own = order[a:b]
-        if b - a < 2:
-            continue
-        keys = keys_of(start[own])
-        sorted_ = np.lexsort(keys[::-1])
-        same = np.ones(len(own) - 1, dtype=bool)
-        for k in keys:
-            s = k[sorted_]
-            same &= s[1:] == s[:-1]
-        flags[own[sorted_[1:][same]]] = True
-        flags[own[sorted_[:-1][same]]] = True
-    return flags
+        if b - a > 1:
+            yield order[a:b]
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 20_000, block_bytes: int = 2_000_000) -> DataFrame:
-    """``(id_col, n_bytes, spans, kept)``: the removed (start, stop) byte ranges, merged and sorted, and the bytes left."""
-    if length < GRAM:
-        raise ValueError(f"length must be {GRAM} or more")
-    rows = keyed(docs, id_col, text_col)
+def suffix_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, report: int = 256, group: int = 256, block_bytes: int = 4_000_000
+) -> DataFrame:
+    """``(id_col, n_bytes, spans, kept, n_repeated)``: the removed (start, stop) byte ranges, merged and sorted, and the bytes left.
 
-    def marks(frags, off, n, rank):
-        return repeated_windows(frags, off, n, length)
+    ``n_repeated`` counts the bytes that lie in repeated strings of ``report`` bytes
+    or more, which are passages of some fifty words; nothing is removed for it.
+    """
+    if not GRAM <= report <= length:
+        raise ValueError(f"report must be {GRAM} or more, length no less")
+    rows = keyed(docs, id_col, text_col)
+    widths = (report, length) if report < length else (length,)
+    full = len(widths) - 1
 
-    def window_bytes(frag, n):
-        return (frag[i : i + length] for i in range(n))
+    def marks(frags, off, n, rank, lengths):
+        return repeated_windows(frags, off, n, lengths)
 
-    cuts = covered(rows, gram_hashes, GRAM, byte_cutter, length, marks, window_bytes, False, hot, block_bytes)
+    size = gram_size(widths[0])
+    cuts = covered(rows, lambda text: gram_hashes(text, size), size, byte_cutter, widths, marks, False, group, block_bytes)
     kind = rows.schema["id"].dataType.simpleString()
-    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    names = [id_col, "n_bytes", "spans", "kept", "n_repeated"]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sizes, found, left = [], [], []
+                sizes, found, left, repeated = [], [], [], []
                 for text, spans in zip(part.column(1), part.column(2), strict=True):
-                    data = text.as_py().encode()
-                    gone = mask_of(len(data), spans.as_py())
+                    data, spans = text.as_py().encode(), spans.as_py()
                     sizes.append(len(data))
-                    found.append(ranges(gone))
-                    left.append(np.frombuffer(data, dtype=np.uint8)[~gone].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(found, span), pa.array(left, pa.binary())], [id_col, "n_bytes", "spans", "kept"])
+                    if spans:
+                        gone = mask_of(len(data), spans, full)
+                        found.append(ranges(gone))
+                        left.append(np.frombuffer(data, dtype=np.uint8)[~gone].tobytes())
+                        repeated.append(int((gone | mask_of(len(data), spans)).sum()))
+                    else:
+                        found.append([])
+                        left.append(data)
+                        repeated.append(0)
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(found, RANGES_ARROW), pa.array(left, pa.binary()), pa.array(repeated, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return with_spans(rows, cuts).mapInArrow(run, f"{id_col} {kind}, n_bytes long, spans array<struct<a:int,b:int>>, kept binary")
+    return with_spans(rows, cuts).mapInArrow(run, f"{id_col} {kind}, n_bytes long, spans {RANGES}, kept binary, n_repeated long")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,4 +246,5 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+        "n_repeated",
     )
