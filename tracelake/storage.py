@@ -49,15 +49,15 @@ def _dropping_shuffles(spark: SparkSession):
                 spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts its lineage, survives lost executors.
+def stored(df: DataFrame, tag: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder (in folders ``by`` columns) and read again: cuts its lineage, survives lost executors.
 
     The shuffle files of the write go when it has ended; nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with _dropping_shuffles(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
