@@ -6,8 +6,7 @@ import pytest
 from brute import crc32_of_ids, secrets
 from tokenizers import Tokenizer
 
-from tracelake.llm.packing import Packer, op8_packing, pack, pack_examples
-from tracelake.llm.registry import QUERIES
+from tracelake.llm.packing import Packer, conversation_packing, op8_packing, pack, pack_examples, tokenized
 from tracelake.llm.secret_scan import op4_secret_scan, secret_scan
 
 
@@ -18,7 +17,7 @@ def test_secret_spans_equal_brute_force(spark, sf_dir):
     for d, t in docs.items():
         want, listed = secrets(t)
         assert (got[d].n_assign, got[d].n_access, got[d].n_hex, got[d].base_sha256) == want
-        assert [x for x in got[d].spans.split(",") if x and not x.startswith("token:")] == [x for x in listed.split(",") if x]
+        assert [x for x in got[d].spans.split(",") if x and not x.startswith("live:")] == [x for x in listed.split(",") if x]
 
 
 def test_ownership_separates_examples_from_live_values(spark):
@@ -30,8 +29,19 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert len(got) == len(rows)
     assert found[1] == [(2, 3, 24)] and found[2] == [] and found[3] == []
     assert found[4] == [] and found[5] == []
-    assert found[None][0][1] == 0 and found[7] == []
-    assert {r.doc_id: r.n_example for r in got}[2] == 1
+    assert found[None] == [(0, 0, 34), (11, 3, 34)] and found[7] == []
+    assert {r.doc_id: r.n_example for r in got}[2] == 1 and {r.doc_id: r.n_live for r in got}[1] == 1
+
+
+def test_verdict_on_base_values_and_long_texts(spark):
+    """A value in three documents of one owner is an example, one in two documents is live; a value found twice has one live span."""
+    filler = "plain words of a long text, " * 20_000
+    rows = [(i, f"token = {'ab12' * 8}", "s1") for i in range(3)] + [(10 + i, f"{filler}key {'cd34' * 8}", "s1") for i in range(2)]
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == got[2] == [(0, 0, 40), (8, 2, 40)]
+    at = len(filler) + 4
+    assert got[10] == got[11] == [(at, 2, at + 32), (at, 3, at + 32)]
+    assert secret_scan(spark.createDataFrame([(1, "token = " + "ab12" * 8, "s")], "doc_id long, text string, source string")).first().n_live == 1
 
 
 def test_secret_scan_of_an_empty_table(spark):
@@ -94,8 +104,32 @@ def test_limits_hold(cut):
 
 
 def test_examples_stay_whole(spark):
-    rows = [(i, 10 + i % 50, i % 20) for i in range(200)] + [(None, 5, None)]
+    rows = [(i, 10 + i % 50, i % 20) for i in range(200)] + [(None, 5, None), (300, 500, 1), (301, 3, 41)]  # the last two are beyond a limit
     df = spark.createDataFrame(rows, "id long, tokens long, loss long")
     got = pack_examples(df, "id", "tokens", "loss", 100, 6, 40).collect()
     assert sorted((r.id is None, r.id or 0) for r in got) == sorted((i is None, i or 0) for i, _, _ in rows)
-    assert len(QUERIES) >= 5
+    need, sums = {i: (n, x or 0) for i, n, x in rows}, defaultdict(lambda: [0, 0, 0])
+    for r in got:
+        sums[r.sequence_id] = [a + b for a, b in zip(sums[r.sequence_id], (1, *need[r.id]), strict=True)]
+    assert sum(n > 100 or x > 40 for _, n, x in sums.values()) == 2 and all(k <= 6 for k, _, _ in sums.values())
+
+
+def test_three_limits_bind_on_conversations(spark):
+    rows = conversation_packing(spark, "/root/testdata/sf0.01").collect()
+    sums = defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        sums[r.sequence_id] = [a + b for a, b in zip(sums[r.sequence_id], (1, r.tokens, r.loss), strict=True)]
+    assert all(k <= 6 and (k == 1 or n <= 4096 and x <= 3072) for k, n, x in sums.values())
+    assert len({r.conv_id for r in rows}) == len(rows) == spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id").distinct().count()
+    assert any(k == 6 for k, _, _ in sums.values()) and any(x > 2700 for _, _, x in sums.values())
+
+
+def test_ids_of_both_libraries_agree():
+    """The fast path gives the ids of the tokenizers library; other files go to that library itself."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encode = Tokenizer.from_file(path), tokenized(path)
+    rng = random.Random(5)
+    letters = "abz AZ09\n\t  .,'\u00e9\u00df\u4e2d\U0001f600\u0301\u00a0_<|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(3000)] + ["<|endoftext|>x", "it's we'LL", " " * 300, "a" * 5000]
+    for t in texts:
+        assert encode(t).tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
