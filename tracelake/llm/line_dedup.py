@@ -3,10 +3,11 @@
 A line's key is the line without white space at its ends and with A-Z in lower
 case.  ``LineRuns`` keeps, in the shared folder, runs of ``(h1, h2, n)``: the
 128-bit hash of a key and the number of documents that hold it.  A batch of
-documents is merge-anti-joined with the keys that the runs have already settled
-as frequent, and what is left becomes a new sorted run of level 0.  As soon as
-a level holds ``fanout`` runs they are merged into one run of the next level,
-so a key is rewritten only once per level.
+documents is merge-anti-joined with the keys that the compacted runs have
+settled as frequent, and what is left becomes a new sorted run of level 0.  As
+soon as a level holds ``fanout`` runs they are merged into one run of the next
+level, so a key is rewritten only once per level, and the settled keys are
+looked up anew only then.
 
 Everything is DataFrame code.  Counting pre-aggregates in the map tasks, so a
 line that every document holds costs one row per task.
@@ -14,7 +15,8 @@ line that every document holds costs one row per task.
 Defined results: a null text is one empty line; an empty key is never dropped;
 rows with equal id (null included) and equal text are one document, and each
 row gets its own output row; an empty table gives an
-empty result; only the named columns are read.
+empty result.  The columns ``n_lines``, ``n_dropped`` and ``kept`` replace input
+columns of these names; all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WHITE, ascii_lower, let, shared_dir, stored
+from tracelake.llm.common import WHITE, ascii_lower, shared_dir, stored
 
 
 def _lines(text):
@@ -59,6 +61,7 @@ class LineRuns:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.root = f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
+        self.settled: DataFrame | None = None
 
     def _write(self, rows: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -80,8 +83,8 @@ class LineRuns:
     def ingest(self, keys: DataFrame) -> None:
         """Adds a batch of ``line_keys``. Keys that are settled as frequent need no more counting."""
         new = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-        if self.levels:
-            new = new.join(self.frequent().hint("merge"), ["h1", "h2"], "left_anti")
+        if self.settled is not None:
+            new = new.join(self.settled.hint("merge"), ["h1", "h2"], "left_anti")
         self._write(new, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -89,10 +92,12 @@ class LineRuns:
             level += 1
 
     def compact(self, level: int) -> None:
-        """Merges the runs of a level into one run of the next."""
+        """Merges the runs of a level into one run of the next; keys that are frequent by now are settled."""
         runs = self.spark.read.schema(self.SCHEMA).parquet(*self.levels[level])
         self._write(runs.groupBy("h1", "h2").agg(F.sum("n").alias("n")), level + 1)
         self.levels[level] = []
+        merged = self.spark.read.schema(self.SCHEMA).parquet(*(p for paths in self.levels[level + 1 :] for p in paths))
+        self.settled = stored(merged.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select("h1", "h2"), "settled-lines")
 
 
 def line_dedup(
@@ -101,7 +106,7 @@ def line_dedup(
     text_col: str = "text",
     min_docs: int = 10,
     min_chars: int = 1,
-    batches: int = 2,
+    batches: int = 5,
     fanout: int = 4,
 ) -> DataFrame:
     """``docs`` with columns ``n_lines``, ``n_dropped`` and ``kept`` (the text left).
@@ -111,28 +116,21 @@ def line_dedup(
     parts; the result doesn't depend on it.
     """
     spark = docs.sparkSession
-    keys = stored(line_keys(docs, id_col, text_col, min_chars).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(batches))), "line-keys")
+    keys = stored(line_keys(docs, id_col, text_col, min_chars).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "line-keys", by=["part"])
     runs = LineRuns(spark, min_docs, fanout)
     for b in range(batches):
         runs.ingest(keys.where(F.col("part") == b))
     frequent = stored(runs.frequent(), "frequent-lines")
-    hits = (
-        keys.join(frequent, ["h1", "h2"], "left_semi")
-        .groupBy(F.col("id").alias("__id"), F.col("th").alias("__th"))
-        .agg(F.flatten(F.collect_list("at")).alias("__gone"))
-    )
-    text = docs[text_col]
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["__id"]) & (_text_hash(text) == hits["__th"]), "left")
-    lines = _lines(text)
+    hits = keys.join(frequent, ["h1", "h2"], "left_semi").groupBy("id", "th").agg(F.flatten(F.collect_list("at")).alias("gone"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    held = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id_"), _text_hash(F.col(text_col)).alias("th_"), _lines(F.col(text_col)).alias("lines"))
+    joined = held.join(hits, F.col("id_").eqNullSafe(hits["id"]) & (F.col("th_") == hits["th"]), "left")
     # the places left, through a hash set, whatever the number of lines; at least the empty list for none
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(let(lines, lambda x: F.transform(left, lambda i: F.get(x, i))))
-    return (
-        joined.withColumn("__kept", kept)
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.col("n_lines") - F.size("__kept"))
-        .withColumn("kept", F.array_join("__kept", "\n"))
-        .drop("__id", "__th", "__gone", "__kept")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.get("lines", i)))
+    out = joined.select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("left"))
+    return out.select(
+        *(F.col("row")[c].alias(c) for c in names), "n_lines", (F.col("n_lines") - F.size("left")).alias("n_dropped"), F.array_join("left", "\n").alias("kept")
     )
 
 
