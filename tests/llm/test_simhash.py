@@ -30,9 +30,9 @@ def _near(rng, n):
 def test_no_link_is_lost(spark):
     prints = _near(random.Random(5), 300)
     want = components(dict(enumerate(prints)), 3)
-    for dense in (4096, 2):
+    for rows in (1 << 18, 50):
         df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-        root = {r.node % (1 << 64): r.root % (1 << 64) for r in roots(simhash.links(df, dense=dense)).collect()}
+        root = {r.node % (1 << 64): r.root % (1 << 64) for r in roots(simhash.links(df, block_rows=rows)).collect()}
         groups: dict = {}
         for i, p in enumerate(prints):
             groups.setdefault(root.get(p, p), []).append(i)

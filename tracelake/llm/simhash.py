@@ -6,15 +6,17 @@ so the Manhattan distance of two embeddings is a lower bound of the Hamming
 distance.  Counts 0, 1, 2 are kept in unary code (00, 01, 11) in one 64-bit
 number, where the Manhattan distance is the number of differing bits.
 
-Grid: the segments form 6 blocks.  Within Manhattan distance 3 at least three
-blocks are equal, so the two fingerprints meet in a grid cell of at least one
-of the 20 choices of three blocks.  In a cell the pairs are first tested by the
-lower bound, then exactly.
+Grid range join: the segments form 6 blocks.  Within Manhattan distance 3 at
+least three blocks are equal, for one of the 20 choices of three blocks, and the
+bit counts of the other three blocks differ by 3 at most in sum.  So a choice
+has a grid over (the equal blocks, that sum in steps of 4): a fingerprint is
+dealt to its own cell and to the one below, and two that are near meet in a
+cell.  In a cell, pairs are found by exact quarters, of which one must be equal,
+and tested by the lower bound first, then exactly.
 
 Distinct fingerprints only are joined, so copies of a text cost nothing, and a
-task returns a spanning forest of the links it found, never all pairs.  A cell
-of more than ``dense`` fingerprints is cut once more by exact quarters, of
-which one must be equal.  Links become components by ``graph.roots``.
+task returns a spanning forest of the links it found, never all pairs.  Links
+become components by ``graph.roots``.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; every input row gets an output row, repeated rows included; a component
@@ -114,26 +116,18 @@ def _pairs_in_runs(run: np.ndarray):
         left = left[left + step < last[left]]
 
 
-def spanning_links(cell: np.ndarray, fp: np.ndarray, max_bits: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over the links within cells; cells come sorted."""
+def spanning_links(cell: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the links within cells."""
     label = np.arange(len(fp))
     seen = unary_counts(fp)
-    sizes = np.diff(np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)))
-    size = np.repeat(sizes, sizes)
-    jobs = [(np.flatnonzero(size <= dense), cell)]
-    big = np.flatnonzero(size > dense)
     for q in range(max_bits + 1):  # 64 bits in max_bits + 1 parts: one must be equal
-        if len(big):
-            a, b = q * BITS // (max_bits + 1), (q + 1) * BITS // (max_bits + 1)
-            part = (fp[big] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-            order = np.lexsort((part, cell[big]))
-            at, sub = big[order], part[order]
-            new = np.append(True, (sub[1:] != sub[:-1]) | (cell[at][1:] != cell[at][:-1]))
-            jobs.append((at, np.cumsum(new)))
-    for at, run in jobs:
-        run = run[at] if len(run) == len(fp) and len(at) != len(run) else run
-        for i, j in _pairs_in_runs(run) if len(at) else ():
-            i, j = at[i], at[j]
+        a, b = q * BITS // (max_bits + 1), (q + 1) * BITS // (max_bits + 1)
+        part = (fp >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+        order = np.lexsort((part, cell))
+        at, own = part[order], cell[order]
+        run = np.cumsum(np.append(True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])))
+        for i, j in _pairs_in_runs(run):
+            i, j = order[i], order[j]
             near = np.bitwise_count(seen[i] ^ seen[j]) <= max_bits  # Manhattan distance of the embeddings
             i, j = i[near], j[near]
             near = np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
@@ -142,35 +136,40 @@ def spanning_links(cell: np.ndarray, fp: np.ndarray, max_bits: int, dense: int)
     return fp[member], fp[label[member]]
 
 
-def links(prints: DataFrame, max_bits: int = 3, dense: int = 4096, block_rows: int = 1 << 18) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = 3, block_rows: int = 1 << 18) -> DataFrame:
     """``(a, b)``: links that connect the same fingerprints as all links of ``max_bits`` or fewer do. prints: distinct ``fp``."""
     masks = [m - (1 << 64) if m >> 63 else m for m in cell_masks(max_bits)]
     low, high = F.col("fp").bitwiseAND(LOW_OF_SEGMENT), F.shiftrightunsigned("fp", 1).bitwiseAND(LOW_OF_SEGMENT)
     counts = low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
-    cells = prints.select("fp", counts.alias("u")).select(
-        "fp", F.posexplode(F.array(*(F.col("u").bitwiseAND(F.lit(m).cast("long")) for m in masks))).alias("choice", "key")
-    )
+
+    def cell(k: int, m: int):
+        mask = F.lit(m).cast("long")
+        step = F.floor(F.bit_count(F.col("u").bitwiseAND(F.bitwise_not(mask))) / (max_bits + 1)).cast("int")
+        return F.struct(F.lit(k).alias("choice"), F.col("u").bitwiseAND(mask).alias("key"), step.alias("step"))
+
+    grid = prints.select("fp", counts.alias("u")).select("fp", F.explode(F.array(*(cell(k, m) for k, m in enumerate(masks)))).alias("c"))
+    steps = grid.select("fp", "c.choice", "c.key", F.explode(F.array("c.step", F.col("c.step") - 1)).alias("step"))
+    cells = steps.select("fp", F.xxhash64("choice", "key", "step").alias("cell"))  # cells of equal hash only share comparisons
 
     def run(batches):
-        def found(cell, choice, fp):
-            a, b = spanning_links(np.cumsum(np.append(True, (cell[1:] != cell[:-1]) | (choice[1:] != choice[:-1]))), fp.view(np.uint64), max_bits, dense)
+        def found(cell, fp):
+            a, b = spanning_links(cell, fp.view(np.uint64), max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        kept: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        kept: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
         for batch in batches:
-            kept = [np.concatenate([k, batch.column(n).to_numpy()]) for k, n in zip(kept, ("key", "choice", "fp"), strict=True)]
-            key, choice, _ = kept
-            if len(key) >= block_rows:  # all whole cells but the last one
-                cut = np.flatnonzero((key != key[-1]) | (choice != choice[-1]))
-                if len(cut):
-                    n = cut[-1] + 1
+            kept = [np.concatenate([k, batch.column(n).to_numpy()]) for k, n in zip(kept, ("cell", "fp"), strict=True)]
+            if len(kept[0]) >= block_rows:  # all whole cells but the last one
+                whole = np.flatnonzero(kept[0] != kept[0][-1])
+                if len(whole):
+                    n = whole[-1] + 1
                     yield found(*(k[:n] for k in kept))
                     kept = [k[n:] for k in kept]
         if len(kept[0]):
             yield found(*kept)
 
-    dealt = cells.repartition(shuffle_count(prints.sparkSession), "choice", "key").sortWithinPartitions("choice", "key")
-    return dealt.select("key", F.col("choice").cast("long").alias("choice"), "fp").mapInArrow(run, "a long, b long")
+    dealt = cells.repartition(shuffle_count(prints.sparkSession), "cell").sortWithinPartitions("cell")
+    return dealt.select("cell", "fp").mapInArrow(run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
