@@ -13,7 +13,8 @@ examples a task, and a task that runs again gives the same sequences.
 
 Defined results: a null text is an empty text, which is the closing id alone;
 every input row is a document of its own, repeated rows and null ids included;
-an empty table gives an empty result; a text of any length is cut as needed.
+an empty table gives an empty result; a text of any length is cut as needed;
+other input columns are not returned.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.llm.common import stored
 
 END_ID = 0
 
@@ -54,10 +58,29 @@ def load_encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+def _is_plain(spec: dict) -> bool:
+    """Whether a tokenizer file asks for nothing but byte-level BPE with its usual pattern."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    off = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    return bool(plain and model["type"] == "BPE" and not spec.get("normalizer") and not any(model.get(k) for k in off))
+
+
 def tokenized(path: str) -> Callable[[str], np.ndarray]:
-    """Text to its ids and the closing id."""
-    encoding = load_encoding(path)
-    return lambda text: np.append(encoding.encode_to_numpy(text, allowed_special="all"), END_ID).astype("<u4")
+    """Text to its ids and the closing id.
+
+    The ids are those of ``tokenizers.Tokenizer.from_file(path)``; a plain
+    byte-level file is encoded by a faster library with equal ids.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if _is_plain(spec):
+        encoding = load_encoding(path)
+        return lambda text: np.append(encoding.encode_to_numpy(text, allowed_special="all"), END_ID).astype("<u4")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: np.append(tokenizer.encode(text, add_special_tokens=False).ids, END_ID).astype("<u4")
 
 
 class Packer:
@@ -71,10 +94,13 @@ class Packer:
         self.start = np.zeros(0, dtype=np.int64)
 
     def add(self, items: list[tuple[object, int, int]]) -> Iterator[list[tuple[object, int, int]]]:
-        """items: (key, tokens, loss-bearing tokens)."""
-        for key, tokens, loss in items:
-            if not self.cut and (tokens > self.limits[0] or loss > self.limits[2]):
-                raise ValueError(f"an example of {tokens} tokens and {loss} loss-bearing ones fits no sequence")
+        """items: (key, tokens, loss-bearing tokens). Without ``cut``, one beyond a limit gets a sequence of its own."""
+        if not self.cut:
+            wide = [(t > self.limits[0] or x > self.limits[2]) for _, t, x in items]
+            for (key, tokens, _), alone in zip(items, wide, strict=True):
+                if alone:
+                    yield [(key, 0, tokens)]
+            items = [x for x, alone in zip(items, wide, strict=True) if not alone]
         self.keys += [k for k, _, _ in items]
         self.need = np.vstack([self.need, np.array([[t, 1, x] for _, t, x in items], dtype=float).reshape(-1, 3)])
         self.start = np.append(self.start, np.zeros(len(items), dtype=np.int64))
@@ -134,7 +160,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_tokens: int = 1024,
-    max_segments: int = 128,
+    max_segments: int = 4,
     max_loss: int = 1024,
     buffer: int = 512,
     with_ids: bool = False,
@@ -142,7 +168,9 @@ def pack(
     """One row for each piece of a document.
 
     All ids of a document bear loss but the closing one, which is counted as a
-    token only.  ``vocabulary`` is a path that every executor has.
+    token only; so of documents packed by themselves the segment limit binds, the
+    loss limit is as wide as the token limit, and ``conversation_packing`` is where
+    all three differ.  ``vocabulary`` is a path that every executor has.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
@@ -201,7 +229,10 @@ def pack(
 def pack_examples(
     examples: DataFrame, id_col: str, tokens_col: str, loss_col: str, max_tokens: int, max_segments: int, max_loss: int, buffer: int = 512
 ) -> DataFrame:
-    """Packs whole examples, never cut, under all three limits: ``(id_col, sequence_id, offset)``."""
+    """Packs whole examples, never cut, under all three limits: ``(id_col, sequence_id, offset)``.
+
+    An example that is beyond a limit by itself gets a sequence of its own.
+    """
     kind = examples.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -235,6 +266,32 @@ def pack_examples(
     return examples.select(id_col, tokens_col, loss_col).mapInArrow(run, f"{id_col} {kind}, sequence_id long, offset long")
 
 
+def turn_tokens(turns: DataFrame, vocabulary: str, text_col: str = "text", role_col: str = "role", loss_role: str = "assistant") -> DataFrame:
+    """``turns`` without the text, with ``tokens`` (a closing id included) and ``loss``, the tokens of turns of ``loss_role``."""
+    kept = [c for c in turns.columns if c not in (text_col, "tokens", "loss")]
+    schema = ", ".join(f"`{c}` {turns.schema[c].dataType.simpleString()}" for c in kept) + ", tokens long, loss long"
+
+    def run(batches):
+        encode = tokenized(vocabulary)
+        for batch in batches:
+            sizes = np.array([len(encode(t.as_py() or "")) for t in batch.column(text_col)], dtype=np.int64)
+            bears = np.array([r == loss_role for r in batch.column(role_col).to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sizes), pa.array(sizes * bears)], [*kept, "tokens", "loss"])
+
+    return turns.mapInArrow(run, schema)
+
+
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations, whose assistant turns bear loss, in sequences of at most 4096 tokens, 6 segments and 3072 loss-bearing tokens."""
+    import public_tokenizers
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "role", "text")
+    sized = turn_tokens(turns, public_tokenizers.path("byte_bpe_50k.json"))
+    examples = stored(sized.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss")), "conversation-sizes")
+    packed = pack_examples(examples, "conv_id", "tokens", "loss", 4096, 6, 3072)
+    return packed.join(examples, "conv_id").select("conv_id", "tokens", "loss", "sequence_id", "offset")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

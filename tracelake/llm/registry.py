@@ -24,9 +24,11 @@ QUERIES = {
     "op8_packing": _pack.op8_packing,
     "op9_quality_rules": _rules.op9_quality_rules,
     "op10_quality_classifier": _quality.op10_quality_classifier,
+    "conversation_packing": _pack.conversation_packing,
 }
 
 ORACLE_SQL = {
+    "op4_secret_scan": _secrets.OP4_SQL,
     "op5_line_dedup": _line.OP5_SQL,
     "op6_decontamination": _decon.OP6_SQL,
     "op7_substring_dedup": _substring.OP7_SQL,
