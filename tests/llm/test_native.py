@@ -3,12 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from brute import base_rules, contamination, lines, sha
 
 from tracelake.llm.decontamination import decontaminate, op6_decontamination
 from tracelake.llm.line_dedup import LineRuns, line_dedup, line_keys, op5_line_dedup
-from tracelake.llm.quality_rules import op9_quality_rules, quality_rules
+from tracelake.llm.quality_rules import OP9_SQL, common_words, op9_quality_rules, quality_rules
 
 
 def texts(spark, sf_dir):
@@ -25,15 +26,15 @@ def test_line_query(spark, sf_dir):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in df.collect()} == lines(texts(spark, sf_dir), 10)
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 4), (5, 2)])
+@pytest.mark.parametrize("batches,fanout", [(1, 4), (5, 4), (7, 2)])
 def test_lines_in_any_batches(spark, batches, fanout):
     rng = random.Random(1)
     pool = ["a", " A\t", "b", "", "É", "é", "x  y", "\x0bb\r"] + [f"line {i}" for i in range(30)]
     docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for i in range(40)} | {40: None, 41: "", 42: "\n\n"}
-    df = spark.createDataFrame([(i, t, i) for i, t in docs.items()], "doc_id long, text string, h1 int")
+    df = spark.createDataFrame([(i, t, i, "own") for i, t in docs.items()], "doc_id long, text string, h1 int, __gone string")
     got = line_dedup(df, min_docs=4, batches=batches, fanout=fanout).collect()
     assert {r.doc_id: (r.n_lines, r.n_dropped, sha(r.kept)) for r in got} == lines(docs, 4)
-    assert all(r.h1 == r.doc_id for r in got)
+    assert all(r.h1 == r.doc_id and r["__gone"] == "own" for r in got)
 
 
 def test_runs_are_compacted_and_settle(spark):
@@ -89,10 +90,22 @@ def test_empty_tables_of_decontamination(spark):
 def test_rule_query(spark, sf_dir):
     df = op9_quality_rules(spark, sf_dir)
     assert not re.search("Python|Pandas|ArrowEval", plan_of(df))
-    for r in df.collect():
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    cursor = db.sql(OP9_SQL)
+    sql = {x["doc_id"]: x for x in (dict(zip(cursor.columns, v, strict=True)) for v in cursor.fetchall())}
+    rows = df.collect()
+    for r in rows:
         want = base_rules(texts_of(spark, sf_dir)[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
-        assert r.kept <= (not r.base_failed)
+        assert r.kept == sql[r.doc_id]["kept"]
+    assert any(not r.kept and not r.base_failed for r in rows)
+
+
+def test_common_words_are_learned(spark):
+    rows = [(f"The, cat{i} (and) a longerword", "en") for i in range(10)] + [("und die xx", "de"), ("the the the", None), (None, "en"), ("", "fr")]
+    got = {r.lang: r.list for r in common_words(spark.createDataFrame(rows, "text string, lang string")).collect()}
+    assert got == {"en": ["a", "and", "the"], "de": ["die", "und", "xx"], None: ["the"]}
 
 
 _cache: dict = {}
