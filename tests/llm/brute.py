@@ -136,3 +136,26 @@ def words_dedup(docs, n):
 
 def crc32_of_ids(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def similar_groups(docs, n, limit):
+    """{id: smallest id reachable} by pairs of texts whose sets of n-word shingles have a Jaccard similarity of limit or more."""
+    sets = {}
+    for d, t in docs.items():
+        w = words(ascii_lower(t or ""))
+        sets[d] = {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))} if w else set()
+    root = {d: d for d in docs}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(docs)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= limit * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {d: top(d) for d in docs}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tracelake.llm import quality_classifier, toxicity
-from tracelake.llm.folds import fold
+from tracelake.llm.folds import fold, sample_ids, sampled_texts
 
 SF = "/root/testdata/sf0.01"
 
@@ -39,6 +39,38 @@ def test_risk_is_not_overfitted_below_zero():
     assert (g[:40] > 0).mean() > 0.9 and (g[40:] < 0).mean() > 0.95
 
 
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_risk_gradient(shift):
+    """Against differences of the plain risk; with the negative part below zero, of that part with its sign turned."""
+    rng = np.random.default_rng(2)
+    gp, gu, prior = rng.normal(2, 1, 20) - shift, rng.normal(0, 1, 50) + shift, 0.3
+    parts = toxicity.nnpu_risk(gp, gu, prior)
+    assert (parts[1] < 0) == (shift < 0)
+    want, both = [], np.append(gp, gu)
+    for k in range(70):
+        near = [both.copy(), both.copy()]
+        near[0][k] += 1e-5
+        near[1][k] -= 1e-5
+        up, down = (toxicity.nnpu_risk(x[:20], x[20:], prior) for x in near)
+        want.append(((up[0] - down[0]) + (up[1] - down[1]) if parts[1] >= 0 else down[1] - up[1]) / 2e-5)
+    assert np.allclose(toxicity.nnpu_step(gp, gu, prior), want, atol=1e-7)
+
+
+def test_score_ties(spark):
+    """Equal texts, in any rows, have equal scores, and scores at the threshold are predicted positive."""
+    labels = spark.createDataFrame([(i, int(i < 20), int(i < 20)) for i in range(40)], "doc_id long, toxic int, quality int")
+    docs = spark.createDataFrame([(i, "one text for all of them") for i in range(40)], "doc_id long, text string")
+    for module in (toxicity, quality_classifier):
+        assert len({r.score for r in module.score(docs, module.train(docs, labels)).collect()}) == 1
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """Repeated rows of a sampled id count once."""
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, "b")], "doc_id long, text string")
+    ids = sample_ids(docs, 10)
+    assert sorted(r.id for r in sampled_texts(docs, ids, "doc_id", "text").collect()) == [1, 2]
+
+
 def test_edges_of_scores(spark):
     rows = [(i, f"good words number {i % 7} here", "x") for i in range(40)] + [(100 + i, f"awful nasty words {i % 5}", "x") for i in range(40)]
     rows += [(None, "awful nasty", "y"), (500, None, "y"), (501, "", "y"), (502, "é " * 100_000, "y"), (0, rows[0][1], "z")]

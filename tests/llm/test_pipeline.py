@@ -1,9 +1,12 @@
-from collections import Counter
+from collections import defaultdict
 
 import corpus_pipeline
-from brute import components, contamination, fingerprint, lines, sha
+import public_tokenizers
+from brute import contamination, crc32_of_ids, lines, sha, similar_groups
+from tokenizers import Tokenizer
 
 import __spark_entry__
+from tracelake.llm.toxicity import features, train
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -15,20 +18,33 @@ def test_stages_against_brute_force(spark, sf_dir):
         assert frames[-1].columns == docs.columns
         steps.append(read(frames[-1]))
     raw, clean, thin, single, fair = steps
-    assert set(clean) <= set(raw) and all(clean[d] == raw[d] for d in clean)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    weights, bias = train(docs.select("doc_id", "text"), labels)
+    toxic = {d for d, r in raw.items() if bias + sum(weights.get(w, 0) for w in features(r.text or "")) >= 0}
+    assert set(clean) == set(raw) - toxic and all(clean[d] == raw[d] for d in clean)
     want = lines({d: r.text for d, r in clean.items()}, 10)
     assert set(thin) == set(clean)
     assert {d: sha(r.text) for d, r in thin.items()} == {d: w[2] for d, w in want.items()}
-    group = components({d: fingerprint(r.text) for d, r in thin.items()}, 3)
+    group = similar_groups({d: r.text for d, r in thin.items()}, 5, 0.8)
     assert set(single) == {d for d in thin if group[d] == d}
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     hit = contamination({d: r.text for d, r in single.items()}, items)
     assert set(fair) == {d for d in single if not hit[d][4]}
     pieces = corpus_pipeline.STAGES[-1][1](spark, frames[-1], sf_dir).collect()
-    have = Counter()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    have, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
-        have[p.doc_id] += p.length
-    assert have == {p.doc_id: p.doc_tokens for p in pieces} and set(have) == set(fair)
+        have[p.doc_id].append(p)
+        sequences[p.sequence_id].append(p)
+    assert set(have) == set(fair)
+    for d, own in have.items():
+        ids = [*tokenizer.encode(fair[d].text or "", add_special_tokens=False).ids, 0]
+        own.sort(key=lambda p: p.start)
+        assert [p.start for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))] and sum(p.length for p in own) == len(ids)
+        assert all(p.ids_crc32 == crc32_of_ids(ids[p.start : p.start + p.length]) for p in own)
+    for own in sequences.values():
+        own.sort(key=lambda p: p.offset)
+        assert [p.offset for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))] and sum(p.length for p in own) <= 1024
 
 
 def test_stages_on_edges(spark, sf_dir):

@@ -18,6 +18,11 @@ def sample_ids(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
 
 
 def sampled_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, partitions: int = 8) -> DataFrame:
-    """``(text, *other columns of ids)`` of the documents in ``ids``, which has a bounded number of rows, hence the broadcast."""
+    """``(text, *other columns of ids)``, one row for each of ``ids``, which has a bounded number of rows, hence the broadcast.
+
+    Of rows with one id the text with the smallest hash is taken.
+    """
+    rest = [c for c in ids.columns if c != "id"]
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-    return found.repartition(partitions, "id")
+    one = found.groupBy("id", *rest).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("id", "text", *rest).repartition(partitions, "id")

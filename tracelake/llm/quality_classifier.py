@@ -20,7 +20,8 @@ Defined results: a null or empty text has a zero vector and is scored from
 that; rows with null ids are scored and never trained on; contradicting labels
 of one id count as low quality; every input row gets an output row; an empty
 table gives an empty result; without training rows of both kinds all scores are
-the share of good labels (0.5 without any).
+the share of good labels (0.5 without any); an input column ``score`` is
+replaced, all others stay; equal texts have equal scores.
 """
 
 from __future__ import annotations

@@ -139,7 +139,7 @@ def later_windows(frags: list[bytes], n: np.ndarray, rank: np.ndarray, window: i
     return flags
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group: int = 256, block_bytes: int = 4_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group: int = 128, block_bytes: int = 4_000_000) -> DataFrame:
     """``(id_col, n_words, n_removed, kept)``; kept has the words left, joined by one space."""
     if window < EDGE:
         raise ValueError(f"window must be {EDGE} or more")

@@ -194,7 +194,7 @@ def suffix_buckets(lead: np.ndarray, bucket: int):
 
 
 def suffix_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, report: int = 256, group: int = 256, block_bytes: int = 4_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, report: int = 256, group: int = 128, block_bytes: int = 4_000_000
 ) -> DataFrame:
     """``(id_col, n_bytes, spans, kept, n_repeated)``: the removed (start, stop) byte ranges, merged and sorted, and the bytes left.
 

@@ -19,7 +19,8 @@ Defined results: a null or empty text has no features and gets the score of the
 bias alone; rows with null ids are scored and never trained on; contradicting
 labels of one id count as toxic; every input row gets an output row; an empty
 table gives an empty result; without any toxic training row all scores are the
-prior, zero if there are no labels at all.
+prior, zero if there are no labels at all; an input column ``score`` is replaced,
+all others stay; equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -48,7 +49,26 @@ def features(text: str) -> set[str]:
     return out
 
 
-def nnpu_fit(rows_p: list[list[int]], rows_u: list[list[int]], n_features: int, prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
+def nnpu_risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk before the correction: of positives, and of negatives by way of the unlabelled."""
+    return prior * float(np.logaddexp(0, -gp).mean()), float(np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean())
+
+
+def nnpu_step(gp: np.ndarray, gu: np.ndarray, prior: float, beta: float = 0.0) -> np.ndarray:
+    """The direction in the outputs (positives, then unlabelled) that a step goes against.
+
+    The risk's gradient while its second part is above ``-beta``; below it the
+    second part's gradient with its sign turned, which leads back above.
+    """
+    sp, su = (1 / (1 + np.exp(-np.clip(g, -30, 30))) for g in (gp, gu))
+    if nnpu_risk(gp, gu, prior)[1] >= -beta:
+        return np.append(prior * (sp - 1) / len(gp) - prior * sp / len(gp), su / len(gu))
+    return np.append(prior * sp / len(gp), -su / len(gu))
+
+
+def nnpu_fit(
+    rows_p: list[list[int]], rows_u: list[list[int]], n_features: int, prior: float, steps: int = 600, rate: float = 0.05, l2: float = 1e-4, beta: float = 0.0
+) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model by the non-negative risk estimator, with Adam on the full batch."""
     n_p, n_u = len(rows_p), len(rows_u)
     lengths = np.array([len(r) for r in [*rows_p, *rows_u]])
@@ -59,16 +79,7 @@ def nnpu_fit(rows_p: list[list[int]], rows_u: list[list[int]], n_features: int,
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
         g = np.bincount(row, theta[col], n_p + n_u) + theta[-1]
-        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        gp, gu = g[:n_p], g[n_p:]
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        d = np.zeros(n_p + n_u)
-        if negative >= -beta:
-            d[:n_p] = prior * (s[:n_p] - 1) / n_p - prior * s[:n_p] / n_p
-            d[n_p:] = s[n_p:] / n_u
-        else:
-            d[:n_p] = prior * s[:n_p] / n_p
-            d[n_p:] = -s[n_p:] / n_u
+        d = nnpu_step(g[:n_p], g[n_p:], prior, beta)
         grad = np.append(np.bincount(col, d[row], n_features), d.sum())
         grad[:-1] += l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
