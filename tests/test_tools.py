@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.engine import Engine
-from tracelake.operators import overlay, paths, resampling, simulate, spatial
+from tracelake.operators import overlay, paths, resampling, spatial
 from tracelake.operators.filters import Spec
 from tracelake.plans import iteration
 
@@ -74,24 +74,13 @@ def test_bootstrap_and_permutation(spark):
 
 
 def test_pairs_beyond_chance(spark):
-    df = simulate.molecules(spark, 1280, "clusters", 3.0, 5000.0).select(F.col("mol").alias("id"), "x", "y")
+    u = lambda key, k: resampling.uniform(key, k)
+    cluster = F.floor(F.col("id") / 20)
+    df = spark.range(1280).select("id", *((u(cluster, k) * 5000 + u(F.col("id"), 2 + k) * 6).alias(a) for k, a in enumerate("xy")))
     e = resampling.excess(spatial.pair_profile(df, 40.0, 4.0), resampling.envelope(df, 400.0, 40.0, 4.0, 5), 0, 3).first()
     assert e.ratio > 5 and e.z > 5
 
 
-@pytest.mark.parametrize("kind", ["clusters", "pores", "filaments", "spheres"])
-def test_simulated_tables(spark, kind):
-    m = simulate.molecules(spark, 256, kind, 50.0, 2000.0)
-    df = simulate.localizations(m, 4.0, 2.0)
-    n = df.count()
-    assert 500 < n < 2000 and df.select("row_id").distinct().count() == n
-    assert df.agg(F.sum(F.xxhash64("x", "y", "eco") % 1000)).first() == simulate.localizations(m, 4.0, 2.0).agg(F.sum(F.xxhash64("x", "y", "eco") % 1000)).first()
-    s = simulate.beads(spark, 4, 20, (0.5, 0.3), 0.1)
-    assert s.count() == 80
-    with pytest.raises(ValueError):
-        simulate.molecules(spark, 1, "knots", 1.0, 1.0)
-
-
 def test_facade(tmp_path, spark):
     rows = "\n".join(json.dumps({"row_id": i, "tid": i % 4, "itr": i // 4 % 2, "vld": True, "tim": float(i), "loc": [i * 1e-9, 0, 0], "eco": i}) for i in range(40))
     (tmp_path / "a.json").write_text(rows)

@@ -22,7 +22,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def roots(links: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of the links ``(a, b)`` but the roots; a root is its component's smallest node.
 
     Alternating large-star and small-star steps; each is a minimum by node,
@@ -31,15 +31,13 @@ def roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = stored(ordered, "links"), None
-    for _ in range(max_rounds):
+    while True:  # every round but the last moves some node to a smaller one
         last, edges = edges, stored(_small_star(_large_star(edges)), "stars")
         release(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
-    else:
-        raise RuntimeError(f"no end after {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -182,26 +182,26 @@ def sample_image(points: DataFrame, image: DataFrame, size: float, how: str) ->
     return points.join(read, "id", "left")
 
 
-def apart(peaks: DataFrame, distance: float, rounds: int = 50) -> DataFrame:
+def apart(peaks: DataFrame, distance: float) -> DataFrame:
     """Greedy suppression: a peak stays if no kept peak of larger score lies within the distance. peaks: (id, x, y, score).
 
     In each round the peaks without a stronger undecided neighbour stay and their
     neighbours go, which gives the same set as going through them one by one.
     """
-    from tracelake.storage import stored
+    from tracelake.storage import release, stored
 
     p = stored(peaks.select("id", "x", "y", "score"), "peaks")
     pairs = near_pairs(p, p, distance).where("a.id <> b.id")
     stronger = (F.col("b.score") > F.col("a.score")) | ((F.col("b.score") == F.col("a.score")) & (F.col("b.id") < F.col("a.id")))
     edges = stored(pairs.where(stronger).select(F.col("a.id").alias("weak"), F.col("b.id").alias("strong")), "peak-pairs")
     state = stored(p.select("id", F.lit(0).alias("s")), "peak-state")  # 0 open, 1 kept, 2 gone
-    for _ in range(rounds):
-        if not state.where("s = 0").limit(1).count():
-            return p.join(state.where("s = 1").select("id"), "id", "left_semi")
+    while state.where("s = 0").limit(1).count():  # the strongest open peak is decided in each round
         over = edges.join(state.withColumnRenamed("id", "strong"), "strong").groupBy(F.col("weak").alias("id")).agg(F.max((F.col("s") == 1).cast("int")).alias("hit"), F.max((F.col("s") == 0).cast("int")).alias("open"))
         new = F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("hit", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = stored(state.join(over, "id", "left").select("id", new.alias("s")), "peak-state")
-    raise RuntimeError(f"no end after {rounds} rounds")
+        last, state = state, stored(state.join(over, "id", "left").select("id", new.alias("s")), "peak-state")
+        release(last)
+    release(edges)
+    return p.join(state.where("s = 1").select("id"), "id", "left_semi")
 
 
 def extent(points: DataFrame, axes: Sequence[str] = ("x", "y")) -> DataFrame:

@@ -341,10 +341,10 @@ _P = [f"{w} * exp(-pow((eco - {m}) / {s}, 2) / 2) / ({s} * sqrt(2 * pi()))" for
 
 
 @query("posterior_labels", f"""SELECT row_id, {r(f'({_P[0]}) / (({_P[0]}) + ({_P[1]}))', 'p0')}, CASE WHEN greatest({_P[0]}, {_P[1]}) / (({_P[0]}) + ({_P[1]})) >= 0.8 THEN CAST(CASE WHEN ({_P[0]}) >= ({_P[1]}) THEN 0 ELSE 1 END AS BIGINT) ELSE -1 END AS label
- FROM {STREAM} WHERE eco < 300""")
+ FROM {STREAM}""")
 def _(spark, d):
     v = F.col("eco")
-    return stream(spark, d).where("eco < 300").select("row_id", G.responsibilities(v, _MIX)[0].alias("p0"), G.posterior_label(v, _MIX, 0.8).alias("label"))
+    return stream(spark, d).select("row_id", G.responsibilities(v, _MIX)[0].alias("p0"), G.posterior_label(v, _MIX, 0.8).alias("label"))
 
 
 @query("flatten_union", f"""WITH u AS (SELECT 0 AS channel, tid, row_id, eco FROM {STREAM} WHERE itr = 1 UNION ALL SELECT 1, tid, row_id, eco FROM {STREAM} WHERE itr = 2)
@@ -597,11 +597,11 @@ def _(spark, d):
 
 @query("scalar_functions", f"""SELECT row_id, {r('sqrt(2 / pi()) * eco * eco / pow(20, 3) * exp(-eco * eco / 800)', 'maxwell')}, {r('eco / (30 * 20 * sqrt(2 * pi())) * (exp(-pow(eco - 30, 2) / 800) - exp(-pow(eco + 30, 2) / 800))', 'offset_pdf')},
  CAST(row_id AS VARCHAR) || CASE WHEN row_id % 100 BETWEEN 11 AND 13 THEN 'th' WHEN row_id % 10 = 1 THEN 'st' WHEN row_id % 10 = 2 THEN 'nd' WHEN row_id % 10 = 3 THEN 'rd' ELSE 'th' END AS ord,
- {r('eco * 0.8 - tid * 0.6 + 5', 'u')}, {r('eco * 0.6 + tid * 0.8 - 3', 'v')} FROM {STREAM} WHERE eco < 300""")
+ {r('eco * 0.8 - tid * 0.6 + 5', 'u')}, {r('eco * 0.6 + tid * 0.8 - 3', 'v')} FROM {STREAM}""")
 def _(spark, d):
     u, v = G.homogeneous([[0.8, -0.6, 5], [0.6, 0.8, -3], [0, 0, 1]], F.col("eco"), F.col("tid").cast("double"))
     e = F.col("eco")
-    return stream(spark, d).where("eco < 300").select("row_id", G.maxwell_pdf(e, 20.0).alias("maxwell"), G.offset_pdf(e, 30.0, 20.0).alias("offset_pdf"), G.ordinal(F.col("row_id")).alias("ord"), u.alias("u"), v.alias("v"))
+    return stream(spark, d).select("row_id", G.maxwell_pdf(e, 20.0).alias("maxwell"), G.offset_pdf(e, 30.0, 20.0).alias("offset_pdf"), G.ordinal(F.col("row_id")).alias("ord"), u.alias("u"), v.alias("v"))
 
 
 @query("ln_positive_values", f"SELECT row_id, {r('ln(eco)', 'v')} FROM {STREAM} WHERE eco > 0 AND ln(eco) <> 0")

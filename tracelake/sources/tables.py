@@ -237,7 +237,7 @@ def unnested(df: DataFrame, order: str = "row_id") -> DataFrame:
         raise ValueError("no array columns")
     rest = [c for c in df.columns if c not in arrays]
     out = df.select(*rest, F.posexplode(F.arrays_zip(*arrays)).alias("itr", "e")).select(*rest, "itr", *(F.col(f"e.{a}").alias(a) for a in arrays))
-    return out.withColumnRenamed(order, "loc_row").withColumn("row_id", F.col("loc_row") * 1000 + F.col("itr"))
+    return out.withColumnRenamed(order, "loc_row").withColumn("row_id", F.shiftleft(F.col("loc_row").cast("long"), 20) + F.col("itr"))
 
 
 def capabilities(df: DataFrame) -> dict[str, bool]:
