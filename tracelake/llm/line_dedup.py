@@ -84,7 +84,9 @@ class LineRuns:
         """Adds a batch of ``line_keys``. Keys that are settled as frequent need no more counting."""
         new = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
         if self.settled is not None:
-            new = new.join(self.settled.hint("merge"), ["h1", "h2"], "left_anti")
+            known = self.settled.hint("merge")
+            # the condition on n keeps the join above the counting, whose map side makes a hot line one row a task
+            new = new.join(known, (new["h1"] == known["h1"]) & (new["h2"] == known["h2"]) & (new["n"] > 0), "left_anti")
         self._write(new, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
