@@ -12,6 +12,7 @@ from tracelake.llm import simhash as _simhash
 from tracelake.llm import substring_dedup as _substring
 from tracelake.llm import suffix_dedup as _suffix
 from tracelake.llm import toxicity as _toxicity
+from tracelake.llm import warc as _warc
 
 QUERIES = {
     "op1_toxicity": _toxicity.op1_toxicity,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": _pack.op8_packing,
     "op9_quality_rules": _rules.op9_quality_rules,
     "op10_quality_classifier": _quality.op10_quality_classifier,
+    "op11_warc": _warc.op11_warc,
     "conversation_packing": _pack.conversation_packing,
 }
 
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op6_decontamination": _decon.OP6_SQL,
     "op7_substring_dedup": _substring.OP7_SQL,
     "op9_quality_rules": _rules.OP9_SQL,
+    "op11_warc": _warc.OP11_SQL,
 }
