@@ -9,6 +9,7 @@ from tracelake.llm import quality_classifier as _quality
 from tracelake.llm import quality_rules as _rules
 from tracelake.llm import secret_scan as _secrets
 from tracelake.llm import simhash as _simhash
+from tracelake.llm import spelling as _spelling
 from tracelake.llm import substring_dedup as _substring
 from tracelake.llm import suffix_dedup as _suffix
 from tracelake.llm import toxicity as _toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality_rules": _rules.op9_quality_rules,
     "op10_quality_classifier": _quality.op10_quality_classifier,
     "op11_warc": _warc.op11_warc,
+    "op12_spelling": _spelling.op12_spelling,
     "conversation_packing": _pack.conversation_packing,
 }
 
@@ -36,4 +38,5 @@ ORACLE_SQL = {
     "op7_substring_dedup": _substring.OP7_SQL,
     "op9_quality_rules": _rules.OP9_SQL,
     "op11_warc": _warc.OP11_SQL,
+    "op12_spelling": _spelling.OP12_SQL,
 }
