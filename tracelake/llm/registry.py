@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracelake.llm import collocations as _collocations
 from tracelake.llm import decontamination as _decon
 from tracelake.llm import line_dedup as _line
 from tracelake.llm import packing as _pack
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_classifier": _quality.op10_quality_classifier,
     "op11_warc": _warc.op11_warc,
     "op12_spelling": _spelling.op12_spelling,
+    "op13_collocations": _collocations.op13_collocations,
     "conversation_packing": _pack.conversation_packing,
 }
 
@@ -39,4 +41,5 @@ ORACLE_SQL = {
     "op9_quality_rules": _rules.OP9_SQL,
     "op11_warc": _warc.OP11_SQL,
     "op12_spelling": _spelling.OP12_SQL,
+    "op13_collocations": _collocations.OP13_SQL,
 }
