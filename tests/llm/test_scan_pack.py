@@ -103,6 +103,19 @@ def test_limits_hold(cut):
     assert seen == {i: n for i, n, _ in items}
 
 
+@pytest.mark.parametrize("sizes", [[5], [40], [120], [1], [5, 5, 5, 900], [3, 2000]])
+def test_short_documents_fill_sequences(sizes):
+    rng = random.Random(4)
+    items = [(i, n := rng.choice(sizes), n - 1) for i in range(3000)]
+    packer = Packer(1024, None, 1024)
+    sequences = [s for lo in range(0, 3000, 128) for s in packer.add(items[lo : lo + 128])] + [*packer.finish()]
+    lengths = [sum(b - a for _, a, b in s) for s in sequences]
+    padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in lengths)
+    assert sum(lengths) == sum(n for _, n, _ in items) and padding < 0.01 * sum(lengths)
+    most, mean = max(map(len, sequences)), sum(n for _, n, _ in items) / 3000
+    assert most <= max(4, 3 * 1024 / mean + 1)  # the limit still binds: mixed lengths don't make sequences of short documents alone
+
+
 def test_examples_stay_whole(spark):
     rows = [(i, 10 + i % 50, i % 20) for i in range(200)] + [(None, 5, None), (300, 500, 1), (301, 3, 41)]  # the last two are beyond a limit
     df = spark.createDataFrame(rows, "id long, tokens long, loss long")

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import stored
 
 END_ID = 0
+LEAST_SEGMENTS = 4  # of a segment limit that follows the examples' lengths
 
 
 def load_encoding(path: str):
@@ -86,8 +87,9 @@ def tokenized(path: str) -> Callable[[str], np.ndarray]:
 class Packer:
     """Fills sequences from a buffer of examples; ``add`` and ``finish`` give lists of (key, start, stop) a sequence."""
 
-    def __init__(self, max_tokens: int, max_segments: int, max_loss: int, cut: bool = True, buffer: int = 512):
-        self.limits = np.array([max_tokens, max_segments, max_loss], dtype=float)
+    def __init__(self, max_tokens: int, max_segments: int | None, max_loss: int, cut: bool = True, buffer: int = 512):
+        self.limits = np.array([max_tokens, max_segments or LEAST_SEGMENTS, max_loss], dtype=float)
+        self.by_length = max_segments is None
         self.max_tokens, self.cut, self.buffer = max_tokens, cut, buffer
         self.keys: list = []
         self.need = np.zeros((0, 3))  # tokens, segments and loss-bearing tokens of what is left of each example
@@ -116,6 +118,8 @@ class Packer:
             yield self._fill(size)
 
     def _fill(self, size: int) -> list[tuple[object, int, int]]:
+        if self.by_length:  # twice what examples of the buffer's mean length need to fill a sequence
+            self.limits[1] = max(LEAST_SEGMENTS, 2 * np.ceil(self.max_tokens * len(self.need) / max(1.0, self.need[:, 0].sum())))
         room = self.limits.copy()
         room[0] = size
         out, gone = [], []
@@ -160,7 +164,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_tokens: int = 1024,
-    max_segments: int = 4,
+    max_segments: int | None = None,
     max_loss: int = 1024,
     buffer: int = 512,
     with_ids: bool = False,
@@ -170,7 +174,9 @@ def pack(
     All ids of a document bear loss but the closing one, which is counted as a
     token only; so of documents packed by themselves the segment limit binds, the
     loss limit is as wide as the token limit, and ``conversation_packing`` is where
-    all three differ.  ``vocabulary`` is a path that every executor has.
+    all three differ.  Without ``max_segments`` the segment limit follows the mean
+    length of the buffered documents (twice what these need, 4 at least), so short
+    documents fill their sequences.  ``vocabulary`` is a path that every executor has.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
