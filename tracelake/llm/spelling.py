@@ -53,6 +53,8 @@ OTHERS = 4
 LEVELS = 1 + len(GROUPS) + OTHERS  # the length comes first
 STEP = 6  # levels of node counts that one aggregate takes
 WIDE = 64  # words up to this length are verified as rows of a matrix
+SMALL = 2  # words of a node that are compared one by one
+TABLE = 1 << 22  # entries of a table of children; beyond, they are searched
 STATES = 1 << 18  # states that one step of the search expands
 #: States of a search: as long with nothing, the surplus, both spent; one letter longer with nothing, the surplus spent.
 SAME, OVER, SWAPPED, LONGER, GROWN = range(5)
@@ -142,18 +144,32 @@ class Trie:
         self.words = words
         counts = letter_counts(words)
         order = np.lexsort(counts.T[::-1])
-        self.order, self.counts = order, counts[order]
-        self.base = int(counts.max(initial=0)) + 3
+        self.order, counts = order, counts[order]
+        self.counts, self.sizes = _narrow(counts), counts[:, 0]
         self.start, self.children = [np.zeros(1, np.int64)], []
         node = np.zeros(len(words), np.int64)
         for level in range(LEVELS):
-            keys = node * self.base + self.counts[:, level]
+            base = int(counts[:, level].max(initial=0)) + 3
+            keys = node * base + counts[:, level]
             first = np.flatnonzero(np.diff(keys, prepend=-1))
-            self.children.append(keys[first])
+            table = None
+            if (int(node[-1]) + 1) * base <= TABLE:
+                table = np.full((int(node[-1]) + 1) * base, -1, np.int32)
+                table[keys[first]] = np.arange(len(first))
+            self.children.append((base, keys[first], table))
             self.start.append(first)
             node = np.cumsum(np.diff(keys, prepend=-1) != 0) - 1
         self.points = _points(words)[order]
-        self.sizes = self.counts[:, 0]
+
+    def child(self, level: int, node: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The child of each node with that count, -1 if there is none."""
+        base, keys, table = self.children[level]
+        count = np.minimum(count, base - 1)  # no node has the largest
+        key = node * base + count
+        if table is not None:
+            return table[key]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, at, -1)
 
     def size(self, level: int, node: np.ndarray) -> np.ndarray:
         ends = np.append(self.start[level], len(self.words))
@@ -165,6 +181,7 @@ class Trie:
         The walk begins at the root again: down to the node there is one child a level, so what a word has spent on the way follows anew.
         """
         counts, points = letter_counts(words), _points(words)
+        narrow = _narrow(counts)
         stack = [(0, np.arange(len(words)), np.zeros(len(words), np.int64), np.full(len(words), SAME))]
         while stack:
             level, at, node, state = stack.pop()
@@ -172,32 +189,33 @@ class Trie:
                 half = len(at) // 2
                 stack += [(level, at[half:], node[half:], state[half:]), (level, at[:half], node[:half], state[:half])]
                 continue
-            small = self.size(level, node) <= 4 if level < LEVELS else np.ones(len(at), bool)
+            small = self.size(level, node) <= SMALL if level < LEVELS else np.ones(len(at), bool)
             if small.any():
-                yield from self.verified(words, counts, points, at[small], self.start[level][node[small]], self.size(level, node[small]))
+                yield from self.verified(words, counts, narrow, points, at[small], self.start[level][node[small]], self.size(level, node[small]))
                 at, node, state = at[~small], node[~small], state[~small]
             if not len(at):
                 continue
-            keys, found = self.children[level], []
+            found = []
             for which, count, then in branches(level, counts[at, level], state):
-                key = node[which] * self.base + count
-                ok = (count < self.base) & _within(key, keys)
-                found.append((at[which[ok]], np.searchsorted(keys, key[ok]), then[ok]))
+                child = self.child(level, node[which], count)
+                ok = np.flatnonzero(child >= 0)
+                found.append((at[which[ok]], child[ok].astype(np.int64), then[ok]))
             stack.append((level + 1, *(np.concatenate(x) for x in zip(*found, strict=True))))
 
-    def verified(self, words, counts, points, at, start, size):
+    def verified(self, words, counts, narrow, points, at, start, size):
         """The pairs of a small node, or of a leaf in blocks, by counts and then letter by letter."""
         step = max(1, STATES // max(1, int(size.max())))
         for lo in range(0, len(at), step):
             a = np.repeat(at[lo : lo + step], size[lo : lo + step])
             ends = np.cumsum(size[lo : lo + step])
             b = np.arange(len(a)) - np.repeat(ends - size[lo : lo + step], size[lo : lo + step]) + np.repeat(start[lo : lo + step], size[lo : lo + step])
-            diff = self.counts[b, 1:] - counts[a, 1:]
-            up, down = np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1)
-            first = diff[np.arange(len(diff)), (diff != 0).argmax(1)]
-            ok = (up <= 1) & (down <= up) & (first >= 0)
-            a, b, up, down = a[ok], b[ok], up[ok], down[ok]
-            longer = up > down
+            diff = self.counts[b] - narrow[a]
+            longer = diff[:, 0] > 0
+            diff[:, 0] = 0
+            ok = np.flatnonzero(np.abs(diff).sum(1) <= np.where(longer, 1, 2))
+            diff = diff[ok]
+            ok = ok[diff[np.arange(len(diff)), (diff != 0).argmax(1)] >= 0]
+            a, b, longer, plain = a[ok], b[ok], longer[ok], ~(self.counts[b[ok], 1:] != narrow[a[ok], 1:]).any(1)
             wide = np.maximum(counts[a, 0], self.sizes[b]) > WIDE
             same = np.zeros(len(a), bool)
             r = np.flatnonzero(~longer & ~wide)
@@ -210,12 +228,17 @@ class Trie:
                 same[i] = ~((x[:, :WIDE] != y[:, 1:]) & (place >= from_) & (place < counts[a[i], 0][:, None])).any(1)
             for k in np.flatnonzero(wide):
                 same[k] = one_edit(words[a[k]], self.words[self.order[b[k]]])
-            a, b, up = a[same], self.order[b[same]], up[same]
-            keep = (up > 0) | np.fromiter((words[i] < self.words[j] for i, j in zip(a, b, strict=True)), bool, len(a))
+            a, b, keep = a[same], self.order[b[same]], ~plain[same]
+            for i in np.flatnonzero(~keep):  # equal counts: both words find each other
+                keep[i] = words[a[i]] < self.words[b[i]]
             if keep.any():
                 yield a[keep], b[keep]
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.int16 if counts.max(initial=0) < 2**14 else np.int64)
+
+
 def _points(words: list[str]) -> np.ndarray:
     """Code points, zeros behind the end; words over WIDE are left out."""
     out = np.zeros((len(words), WIDE + 1), np.uint32)
