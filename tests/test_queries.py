@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tracelake import more_queries  # noqa: F401
+from tracelake import more_queries, structure_queries  # noqa: F401
 from tracelake.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
