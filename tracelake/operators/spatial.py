@@ -182,16 +182,16 @@ def sample_image(points: DataFrame, image: DataFrame, size: float, how: str) ->
     return points.join(read, "id", "left")
 
 
-def apart(peaks: DataFrame, distance: float) -> DataFrame:
-    """Greedy suppression: a peak stays if no kept peak of larger score lies within the distance. peaks: (id, x, y, score).
+def apart(peaks: DataFrame, distance: float, axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Greedy suppression: a peak stays if no kept peak of larger score lies within the distance. peaks: (id, *axes, score).
 
     In each round the peaks without a stronger undecided neighbour stay and their
     neighbours go, which gives the same set as going through them one by one.
     """
     from tracelake.storage import release, stored
 
-    p = stored(peaks.select("id", "x", "y", "score"), "peaks")
-    pairs = near_pairs(p, p, distance).where("a.id <> b.id")
+    p = stored(peaks.select("id", *axes, "score"), "peaks")
+    pairs = near_pairs(p, p, distance, axes).where("a.id <> b.id")
     stronger = (F.col("b.score") > F.col("a.score")) | ((F.col("b.score") == F.col("a.score")) & (F.col("b.id") < F.col("a.id")))
     edges = stored(pairs.where(stronger).select(F.col("a.id").alias("weak"), F.col("b.id").alias("strong")), "peak-pairs")
     state = stored(p.select("id", F.lit(0).alias("s")), "peak-state")  # 0 open, 1 kept, 2 gone

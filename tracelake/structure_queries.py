@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import voronoi
+from tracelake.operators import volumes, voronoi
 from tracelake.plans.roles import view
 from tracelake.queries import CLOUD, POINTS, points, query, r
 
@@ -31,3 +31,11 @@ SELECT id, {r('sqrt(min(d2))', 'd')}, {r('arg_min(x, (d2, x, y))', 'x')}, {r('ar
 def _(spark, d):
     near = voronoi.nearest_seed(view(spark, d, "cloud").select("id", "x", "y"), points(spark, d))
     return near.select("id", "d", F.col("seed.x").alias("x"), F.col("seed.y").alias("y"))
+
+
+# ---- volumes ---------------------------------------------------------------------------------------------------
+
+
+@query("volume_detections")
+def _(spark, d):
+    return volumes.detections(view(spark, d, "cloud"), "gaussian", {"fwhm": 60.0}, 20.0, 20.0, 0.4).select("x", "y", "z", "score")
