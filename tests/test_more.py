@@ -31,10 +31,9 @@ def test_regions_are_written_and_read(spark, tmp_path):
     with pytest.raises(ValueError):
         regions.read_regions(spark, str(tmp_path / "x"))
     assert len(regions.outline(made[1], 16)) == 16 and math.isclose(max(x for x, _ in regions.outline(made[1], 16)), 1)
-    assert regions.converted(made[2], "rectangle") == Region("p", "rectangle", 0.0, 0.0, 2.0, 2.0)
+    assert regions.converted(made[2], "bounding_box") == Region("p", "rectangle", 0.0, 0.0, 2.0, 2.0)
     assert regions.converted(made[0], "line").points and regions.converted(made[2], "polygon").points == made[2].points
-    grown = regions.resized(made[2], 1.0)
-    assert all(math.dist(a, b) == pytest.approx(1) for a, b in zip(grown.points, made[2].points, strict=True))
+    assert regions.resized(made[2], 1.0).points == ((-1.0, -1.0), (3.0, -1.0), (1.0, 3.0))  # scaled about the middle of the box
     with pytest.raises(ValueError):
         regions.resized(made[1], -2)
     with pytest.raises(ValueError):
@@ -50,8 +49,8 @@ def test_erf(spark):
 
 def test_rendered_mass_is_kept(spark):
     p = spark.createDataFrame([(i, 13.7 * i, 5.1 * i) for i in range(50)], "id long, x double, y double")
-    total = renders.precision_render(p, 10.0, F.lit(12.0), F.lit(8.0), reach=5.0).agg(F.sum("v")).first()[0]
-    assert total == pytest.approx(50, abs=1e-3)
+    total = renders.precision_render(p, 10.0, F.lit(12.0), F.lit(8.0)).agg(F.sum("v")).first()[0]
+    assert total == pytest.approx(50, abs=1e-9)  # of any reach: each row is scaled to one
 
 
 def test_thinning():
@@ -70,7 +69,7 @@ def test_iteration_specs_report_what_they_lack(spark):
     df = spark.createDataFrame(rows, "tid long, row_id long, itr int, vld boolean, cfr double")
     kept, missing = iterations.apply_iteration_specs(df, [IterationSpec("cfr", 5, None), IterationSpec("nothing", 1)])
     assert missing == ["nothing"] and {r.row_id for r in kept.collect()} == {3, 4, 5, 6, 7, 8}
-    assert iterations.resolved_iteration(IterationSpec("cfr")) == "effective" and iterations.resolved_iteration(IterationSpec("eco")) == "last"
+    assert iterations.resolved_iteration(IterationSpec("cfr"), {"cfr": 1}) == "effective" and iterations.resolved_iteration(IterationSpec("eco")) == "last"
     assert iterations.apply_iteration_specs(df.where("false"), [IterationSpec("cfr", 5)])[0].count() == 0
 
 

@@ -115,3 +115,8 @@ def header_unit(name: Column) -> Column:
 
 def mask_key(*parts: str) -> Column:
     return F.concat(F.lit("mask_"), F.substring(F.sha2(F.lit("|".join(parts)), 256), 1, 12))
+
+
+def tilt(edge: Column, half_width: Column) -> Column:
+    """Degrees between a rod's surface and the image plane, from the distance to the rod's projected edge and its half width; null without a width."""
+    return F.when(half_width > 0, F.degrees(F.asin(F.least(F.greatest(1 - edge / half_width, F.lit(0.0)), F.lit(1.0)))))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from tracelake.functions import geometry as G
 from tracelake.functions import matrices as M
-from tracelake.operators import filters, iterations, regions, renders
+from tracelake.operators import filters, iterations, paths, regions, renders
 from tracelake.operators.iterations import IterationSpec
 from tracelake.operators.regions import Region
 from tracelake.plans.roles import view
@@ -20,13 +20,16 @@ from tracelake.sources import sets
 
 
 @query("iteration_specs", f"""WITH {ISLANDS}, t AS (SELECT max(itr) AS top FROM isl WHERE vld),
-e AS (SELECT itr AS eff FROM isl WHERE vld GROUP BY itr ORDER BY sum(abs(eco)) DESC, itr LIMIT 1),
-v AS (SELECT row_id, tid, itr, eco, sum(eco) OVER p AS total, arg_max(eco, CASE WHEN itr = top AND vld THEN row_id END) FILTER (WHERE itr = top AND vld) OVER p AS last,
-  arg_max(eco, CASE WHEN itr = eff THEN row_id END) FILTER (WHERE itr = eff) OVER p AS eff_v FROM isl, t, e WINDOW p AS (PARTITION BY tid, isl))
-SELECT row_id, tid, CAST(itr AS BIGINT) AS itr, {r('eco', 'eco')} FROM v WHERE total >= 20 AND total <= 400 AND last >= 5 AND eff_v >= 2""")
+v AS (SELECT row_id, tid, itr, eco, sum(eco) FILTER (WHERE vld AND isfinite(eco)) OVER p AS total, bool_or(vld AND itr = top) OVER p AS ends, arg_max(eco, row_id) FILTER (WHERE vld AND itr = top) OVER p AS last,
+  arg_max(eco, row_id) FILTER (WHERE vld AND itr = 1) OVER p AS own FROM isl, t WINDOW p AS (PARTITION BY tid, isl)),
+w AS (SELECT *, max(last) OVER (PARTITION BY tid) AS most FROM v)
+SELECT row_id, tid, CAST(itr AS BIGINT) AS itr, {r('eco', 'eco')} FROM w WHERE ends AND total >= 20 AND total <= 400 AND last > 5 AND own >= 2 AND eco < 90 AND most >= 30""")
 def _(spark, d):
-    specs = [IterationSpec("eco", 20, 400, "sum"), IterationSpec("eco", 5), IterationSpec("eco", 2, None, "effective"), IterationSpec("unknown", 0)]
-    return iterations.apply_iteration_specs(stream(spark, d), specs)[0].select("row_id", "tid", "itr", "eco")
+    specs = [
+        IterationSpec("eco", 20, 400, "sum"), IterationSpec("eco", 5, lo_inc=False, iteration="last"), IterationSpec("eco", 2), IterationSpec("eco", None, 90, "all", hi_inc=False),
+        IterationSpec("eco", 30, None, "no such iteration", mode="max"), IterationSpec("unknown", 0),
+    ]
+    return iterations.apply_iteration_specs(stream(spark, d), specs, measured={"eco": 1})[0].select("row_id", "tid", "itr", "eco")
 
 
 @query("spec_at_iteration", f"""WITH {ISLANDS}, v AS (SELECT tid, isl, row_id, arg_max(eco, row_id) FILTER (WHERE itr = 1) OVER (PARTITION BY tid, isl) AS one FROM isl)
@@ -35,18 +38,20 @@ def _(spark, d):
     return iterations.apply_iteration_specs(stream(spark, d), [IterationSpec("eco", 10, None, 1)])[0].groupBy("tid", "isl").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("matrix_columns", f"""WITH k AS (SELECT tid, eco, row_number() OVER (PARTITION BY tid ORDER BY row_id) - 1 AS k, count(*) OVER (PARTITION BY tid) AS n FROM {LADDER}),
-b AS (SELECT k AS best FROM k GROUP BY k ORDER BY sum(abs(eco)) DESC, k LIMIT 1)
-SELECT tid, {r('max(CASE WHEN k = n - 1 THEN eco END)', 'efo')}, {r('max(CASE WHEN k = best THEN eco END)', 'cfr')} FROM k, b GROUP BY tid""")
+@query("matrix_columns", f"""WITH k AS (SELECT tid, CASE WHEN eco > 150 THEN 'NaN'::DOUBLE ELSE eco END AS eco, row_number() OVER (PARTITION BY tid ORDER BY row_id) - 1 AS k, count(*) OVER (PARTITION BY tid) AS n FROM {LADDER} WHERE tid % 7 <> 0),
+b AS (SELECT k AS best FROM k GROUP BY k ORDER BY coalesce(sum(abs(eco)) FILTER (WHERE NOT isnan(eco)), 0) DESC, k LIMIT 1)
+SELECT tid, {r('CASE WHEN isnan(max(CASE WHEN k = n - 1 THEN eco END)) THEN -1 ELSE max(CASE WHEN k = n - 1 THEN eco END) END', 'efo')},
+ {r('CASE WHEN isnan(max(CASE WHEN k = best THEN eco END)) THEN -1 ELSE max(CASE WHEN k = best THEN eco END) END', 'cfr')} FROM k, b GROUP BY tid""")
 def _(spark, d):
     rows = view(spark, d, "ladder").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("row_id", "eco"))).alias("s"))
-    values = F.transform("s", lambda e: e.eco)
-    return iterations.matrix_columns(rows.select("tid", values.alias("efo"), values.alias("cfr")), ["efo", "cfr"], ["cfr"])
+    values = F.transform("s", lambda e: F.when(e.eco > 150, F.lit(float("nan"))).otherwise(e.eco))
+    out = iterations.matrix_columns(rows.select("tid", values.alias("efo"), values.alias("cfr"), (F.col("tid") % 7 != 0).alias("vld")), ["efo", "cfr"], ["cfr"], "vld")
+    return out.select("tid", *(F.nanvl(c, F.lit(-1.0)).alias(c) for c in ("efo", "cfr")))
 
 
-@query("row_positions", f"SELECT row_id, idx FROM (SELECT row_id, eco, row_number() OVER (PARTITION BY tid ORDER BY row_id) AS idx FROM {STREAM}) WHERE eco > 30")
+@query("row_positions", f"SELECT row_id, idx FROM (SELECT row_id, eco, row_number() OVER (ORDER BY row_id) AS idx FROM {STREAM}) WHERE eco > 30")
 def _(spark, d):
-    return iterations.with_position(stream(spark, d)).where("eco > 30").select("row_id", "idx")
+    return iterations.with_position(stream(spark, d), ["row_id"]).where("eco > 30").select("row_id", "idx")
 
 
 # ---- regions ---------------------------------------------------------------------------------------------------
@@ -91,17 +96,26 @@ def _(spark, d):
     return points(spark, d).where(regions.combined(both, F.col("x"), F.col("y"))).select("id", "tid")
 
 
-@query("resized_region", f"SELECT id FROM {POINTS} WHERE x BETWEEN 250 AND 950 AND y BETWEEN 150 AND 750 AND NOT (x BETWEEN 340 AND 860 AND y BETWEEN 240 AND 660)")
+@query("resized_region", f"""SELECT id FROM {POINTS} WHERE (x BETWEEN 250 AND 950 AND y BETWEEN 150 AND 750 AND NOT (x BETWEEN 340 AND 860 AND y BETWEEN 240 AND 660))
+ OR abs(x - 1500) / 350 + abs(y - 1000) / 250 < 1 OR (x BETWEEN 2000 AND 2800 AND abs(y - 500) <= 60) OR pow(x - 2000, 2) + pow(y - 500, 2) <= 3600 OR pow(x - 2800, 2) + pow(y - 500, 2) <= 3600""")
 def _(spark, d):
     base, x, y = Region("a", "rectangle", 300, 200, 900, 700), F.col("x"), F.col("y")
-    return points(spark, d).where(regions.holds(regions.resized(base, 50), x, y) & ~regions.holds(regions.resized(base, -40), x, y)).select("id")
+    diamond = Region("d", "polygon", points=((1800.0, 1000.0), (1500.0, 1200.0), (1200.0, 1000.0), (1500.0, 800.0)))
+    line = Region("l", "line", points=((2000.0, 500.0), (2800.0, 500.0)))
+    frame = regions.holds(regions.resized(base, 50), x, y) & ~regions.holds(regions.resized(base, -40), x, y)
+    return points(spark, d).where(frame | regions.combined([regions.resized(diamond, 50), regions.resized(line, 60)], x, y)).select("id")
 
 
-@query("converted_region", f"""SELECT id, abs(x - 1500) + abs(y - 1000) < 300 AS polygon FROM {POINTS} WHERE x BETWEEN 1200 AND 1800 AND y BETWEEN 700 AND 1300""")
+@query("converted_region", f"""SELECT id, abs(x - 1500) + abs(y - 1000) < 300 AS polygon, pow(x - 1500, 2) + pow(y - 1000, 2) <= 90000 AS oval,
+ abs(abs(x - 1500) + abs(y - 1000) - 300) <= 20 * sqrt(2) AS band
+ FROM {POINTS} WHERE x BETWEEN 1200 AND 1800 AND y BETWEEN 700 AND 1300 AND least(abs(x - 1500), abs(y - 1000)) > 25""")
 def _(spark, d):
     diamond = Region("d", "polygon", points=((1800.0, 1000.0), (1500.0, 1300.0), (1200.0, 1000.0), (1500.0, 700.0)))
     x, y = F.col("x"), F.col("y")
-    return points(spark, d).where(regions.holds(regions.converted(diamond, "rectangle"), x, y)).select("id", regions.holds(diamond, x, y).alias("polygon"))
+    ring = regions.converted(regions.converted(diamond, "line"), "region", width=40.0)
+    held = {"polygon": diamond, "oval": regions.converted(diamond, "oval"), "band": ring}
+    rows = points(spark, d).where(regions.holds(regions.converted(diamond, "bounding_box"), x, y) & (F.least(F.abs(x - 1500), F.abs(y - 1000)) > 25))
+    return rows.select("id", *(regions.holds(v, x, y).alias(k) for k, v in held.items()))
 
 
 @query("line_band", f"""WITH s(ax, ay, ex, ey) AS (VALUES (200, 300, 1500, 900), (1500, 900, 2500, 400)),
@@ -113,19 +127,28 @@ def _(spark, d):
 
 
 @query("enclosing_ellipses", f"""WITH b AS (SELECT tid, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (max(x) - min(x)) / 2 AS w, (max(y) - min(y)) / 2 AS h FROM {CLOUD} GROUP BY tid),
-f AS (SELECT c.tid, cx, cy, w, h, max(sqrt(pow((x - cx) / w, 2) + pow((y - cy) / h, 2))) AS s FROM {CLOUD} c JOIN b ON c.tid = b.tid WHERE w > 0 AND h > 0 GROUP BY ALL)
+f AS (SELECT c.tid, cx, cy, w, h, max(sqrt(pow((x - cx) / greatest(w, 1e-9), 2) + pow((y - cy) / greatest(h, 1e-9), 2))) AS s FROM {CLOUD} c JOIN b ON c.tid = b.tid GROUP BY ALL)
 SELECT tid, {r('cx', 'cx')}, {r('cy', 'cy')}, {r('w * s', 'rx')}, {r('h * s', 'ry')} FROM f""")
 def _(spark, d):
     return regions.enclosing_ellipse(view(spark, d, "cloud"))
 
 
-@query("density_snap", f"""WITH RECURSIVE s AS (SELECT 0 AS k, 1500.0::DOUBLE AS cx, 1000.0::DOUBLE AS cy, 0::BIGINT AS n
- UNION ALL SELECT k + 1, (SELECT avg(x) FROM {POINTS} WHERE pow(x - cx, 2) + pow(y - cy, 2) <= 90000), (SELECT avg(y) FROM {POINTS} WHERE pow(x - cx, 2) + pow(y - cy, 2) <= 90000),
-  (SELECT count(*) FROM {POINTS} WHERE pow(x - cx, 2) + pow(y - cy, 2) <= 90000) FROM s WHERE k < 3)
-SELECT {r('cx', 'x')}, {r('cy', 'y')}, n FROM s WHERE k = 3""")
+def _snap_step(k: int) -> str:
+    """A round of the cursors c{k - 1} in SQL."""
+    near = " AND ".join(f"{i} BETWEEN round_even(c.{c}, 0) - 3 AND round_even(c.{c}, 0) + 3" for i, c in (("ix", "col"), ("iy", "row")))
+    return f"""w{k} AS (SELECT c.id, sum(v) AS m, sum(v * ix) / sum(v) AS mx, sum(v * iy) / sum(v) AS my FROM c{k - 1} c JOIN px ON {near} WHERE moves GROUP BY c.id),
+ a{k} AS (SELECT c.*, m, mx - col AS sx, my - row AS sy, CASE WHEN dx * dx + dy * dy > 0 THEN ((mx - col) * dx + (my - row) * dy) / (dx * dx + dy * dy) ELSE 0 END AS t FROM c{k - 1} c LEFT JOIN w{k} w ON c.id = w.id),
+ c{k} AS (SELECT id, dx, dy, col + coalesce(sx - t * dx, 0) AS col, row + coalesce(sy - t * dy, 0) AS row, moves AND m IS NOT NULL AND abs(sx - t * dx) + abs(sy - t * dy) >= 0.001 AS moves FROM a{k})"""
+
+
+@query("density_snap", f"""WITH px AS (SELECT floor(x / 20) AS ix, floor(y / 20) AS iy, count(*) AS v FROM {POINTS} GROUP BY 1, 2),
+ c0 AS (SELECT n_nationkey AS id, n_nationkey * 8.0 + 0.5 AS col, n_nationkey * 4.0 + 1 AS row, CASE WHEN n_regionkey = 1 THEN 1.0 ELSE 0 END AS dx, CASE WHEN n_regionkey = 1 THEN 2.0 ELSE 0 END AS dy, true AS moves FROM nation),
+ {", ".join(_snap_step(k) for k in (1, 2, 3))} SELECT CAST(id AS BIGINT) AS id, {r('col', 'col')}, {r('row', 'row')} FROM c3""")
 def _(spark, d):
-    x, y, n = regions.density_centroid(points(spark, d), 1500.0, 1000.0, 300.0, rounds=3, tolerance=0.0)
-    return spark.createDataFrame([(x, y, n)], "x double, y double, n long")
+    px = points(spark, d).groupBy(F.floor(F.col("x") / 20).alias("ix"), F.floor(F.col("y") / 20).alias("iy")).agg(F.count(F.lit(1)).alias("v"))
+    one = F.col("n_regionkey") == 1
+    at = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") * 8.0 + 0.5).alias("col"), (F.col("n_nationkey") * 4.0 + 1).alias("row"), F.when(one, 1.0).otherwise(0.0).alias("dx"), F.when(one, 2.0).otherwise(0.0).alias("dy"))
+    return regions.snapped(px, at)
 
 
 # ---- renders ---------------------------------------------------------------------------------------------------
@@ -146,12 +169,17 @@ def _share(low: str, size: float, at: str, sigma: str) -> str:
     return f"({_erf(upper)} - {_erf(lower)}) / 2"
 
 
-@query("precision_render", f"""WITH p AS (SELECT x, y, CAST(30 AS double) AS sx, CAST(20 + tid AS double) AS sy FROM {CLOUD}),
-a AS (SELECT y, sy, ix, {_share('ix * 40', 40, 'x', 'sx')} AS wx FROM (SELECT *, unnest(range(CAST(floor((x - 3 * sx) / 40) AS BIGINT), CAST(floor((x + 3 * sx) / 40) AS BIGINT) + 1)) AS ix FROM p)),
-b AS (SELECT ix, iy, wx * {_share('iy * 40', 40, 'y', 'sy')} AS v FROM (SELECT *, unnest(range(CAST(floor((y - 3 * sy) / 40) AS BIGINT), CAST(floor((y + 3 * sy) / 40) AS BIGINT) + 1)) AS iy FROM a))
+def _span(c: str, s: str) -> str:
+    first, end = (f"CAST({f}(({c} {o} 4 * {s}) / 40) AS BIGINT)" for f, o in (("floor", "-"), ("ceil", "+")))
+    return f"{first} AS f{c}, {end} AS e{c}, ({_erf(f'(({end} * 40 - {c}) / ({s} * sqrt(2.0::DOUBLE)))')} - {_erf(f'(({first} * 40 - {c}) / ({s} * sqrt(2.0::DOUBLE)))')}) / 2 AS m{c}"
+
+
+@query("precision_render", f"""WITH p AS (SELECT x, y, greatest(CAST(30 AS double), 0.001) AS sx, greatest(CAST(20 * (tid % 3) AS double), 0.001) AS sy FROM {CLOUD}), q AS (SELECT *, {_span('x', 'sx')}, {_span('y', 'sy')} FROM p),
+a AS (SELECT y, sy, fy, ey, my, ix, {_share('ix * 40', 40, 'x', 'sx')} / mx AS wx FROM (SELECT *, unnest(range(fx, ex)) AS ix FROM q)),
+b AS (SELECT ix, iy, wx * {_share('iy * 40', 40, 'y', 'sy')} / my AS v FROM (SELECT *, unnest(range(fy, ey)) AS iy FROM a))
 SELECT ix, iy, {r('sum(v)', 'v')} FROM b GROUP BY ix, iy""")
 def _(spark, d):
-    return renders.precision_render(view(spark, d, "cloud"), 40.0, F.lit(30.0), 20.0 + F.col("tid"))
+    return renders.precision_render(view(spark, d, "cloud"), 40.0, F.lit(30.0), 20.0 * (F.col("tid") % 3))
 
 
 _TURN = ((math.cos(0.5), -math.sin(0.5)), (2 * math.sin(0.5), 2 * math.cos(0.5)))
@@ -166,8 +194,8 @@ def _(spark, d):
 
 
 @query("pixel_positions", f"""WITH p AS (SELECT id, (x - 100) / 25 - 0.5 AS c, (y + 50) / 20 - 0.5 AS w FROM {POINTS})
-SELECT id, {r('c', 'col')}, {r('w', 'row')}, {r(f'1.5 * ((c - 40) * {math.cos(math.radians(30))} - (w - 30) * {math.sin(math.radians(30))}) + 40 + 2', 'moved_col')},
- {r(f'1.5 * ((c - 40) * {math.sin(math.radians(30))} + (w - 30) * {math.cos(math.radians(30))}) + 30 - 3', 'moved_row')} FROM p""")
+SELECT id, {r('c', 'col')}, {r('w', 'row')}, {r(f'1.5 * ((c - 40) * {math.cos(math.radians(30))} + (w - 30) * {math.sin(math.radians(30))}) + 40 + 2', 'moved_col')},
+ {r(f'1.5 * ((w - 30) * {math.cos(math.radians(30))} - (c - 40) * {math.sin(math.radians(30))}) + 30 - 3', 'moved_row')} FROM p""")
 def _(spark, d):
     c, w = renders.pixel_coordinates(F.col("x"), F.col("y"), (100.0, -50.0), (25.0, 20.0))
     p = points(spark, d).select("id", c.alias("col"), w.alias("row"))
@@ -177,14 +205,14 @@ def _(spark, d):
 
 @query("contrast_levels", f"""WITH p AS (SELECT floor(x / 50) AS ix, floor(y / 50) AS iy, sum(z) AS n FROM {POINTS} GROUP BY 1, 2), e AS (SELECT min(n) AS lo, max(n) AS hi, count(*) AS total FROM p),
 h AS (SELECT least(floor((n - lo) / ((hi - lo) / 256)), 255) AS bin, count(*) AS k FROM p, e GROUP BY 1),
-c AS (SELECT bin, sum(k) OVER (ORDER BY bin) AS up, sum(k) OVER (ORDER BY bin DESC) AS down FROM h)
-SELECT {r('lo + min(CASE WHEN up > 0.001 * total THEN bin END) * (hi - lo) / 256', 'low')}, {r('lo + (max(CASE WHEN down > 0.001 * total THEN bin END) + 1) * (hi - lo) / 256', 'high')} FROM c, e GROUP BY lo, hi""")
+c AS (SELECT min(bin) AS a, max(bin) AS b FROM h, e WHERE k <= total // 10 AND k > total // 5000)
+SELECT {r('CASE WHEN b > a THEN lo + a * (hi - lo) / 256 ELSE lo END', 'low')}, {r('CASE WHEN b > a THEN lo + b * (hi - lo) / 256 ELSE hi END', 'high')} FROM c, e""")
 def _(spark, d):
     cells = points(spark, d).groupBy(F.floor(F.col("x") / 50).alias("ix"), F.floor(F.col("y") / 50).alias("iy")).agg(F.sum("z").alias("n"))
     return renders.contrast_levels(cells)
 
 
-@query("bin_edges", f"SELECT tid, CAST(k AS BIGINT) AS k, {r('lo + k * 7.5', 'edge')} FROM (SELECT tid, min(eco) AS lo, unnest(range(0, CAST(ceil((max(eco) - min(eco)) / 7.5) AS BIGINT) + 1)) AS k FROM {STREAM} GROUP BY tid)")
+@query("bin_edges", f"SELECT tid, CAST(k AS BIGINT) AS k, {r('lo + k * 7.5', 'edge')} FROM (SELECT tid, min(eco) AS lo, unnest(range(0, CAST(floor((max(eco) - min(eco)) / 7.5) AS BIGINT) + 2)) AS k FROM {STREAM} GROUP BY tid)")
 def _(spark, d):
     e = stream(spark, d).groupBy("tid").agg(F.min("eco").alias("lo"), F.max("eco").alias("hi"))
     return e.select("tid", F.posexplode(renders.edges(F.col("lo"), F.col("hi"), 7.5)).alias("k", "edge"))
@@ -213,11 +241,13 @@ def _(spark, d):
     return res.crossJoin(F.broadcast(total))  # one row
 
 
-@query("trace_tilts", f"""WITH b AS (SELECT tid, max(x) - min(x) AS w, max(y) - min(y) AS e FROM {POINTS} GROUP BY tid HAVING count(*) >= 3)
-SELECT tid, {r('degrees(asin(least(greatest(1 - e / w, -1), 1)))', 'tilt')} FROM b WHERE w > 0""")
+@query("trace_tilts", f"""WITH b AS (SELECT tid, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {POINTS} GROUP BY tid),
+e AS (SELECT id, least(x - x0, x1 - x, y - y0, y1 - y) AS e, least(x1 - x0, y1 - y0) / 2 AS w FROM {POINTS} JOIN b USING (tid)) SELECT id, {r('degrees(asin(least(greatest(1 - e / w, 0), 1)))', 'tilt')} FROM e WHERE w > 0""")
 def _(spark, d):
-    b = points(spark, d).groupBy("tid").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("e")).where("n >= 3 AND w > 0")
-    return b.select("tid", F.degrees(F.asin(F.least(F.greatest(1 - F.col("e") / F.col("w"), F.lit(-1.0)), F.lit(1.0)))).alias("tilt"))
+    p = points(spark, d)
+    at = p.join(regions.boxes(p), "tid")
+    edge = F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"), F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
+    return at.select("id", G.tilt(edge, F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2).alias("tilt")).where("tilt IS NOT NULL")
 
 
 @query("corner_centers", f"""WITH c AS (SELECT tid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM {CLOUD} GROUP BY tid)
@@ -229,22 +259,18 @@ def _(spark, d):
     return grid.select("tid", "k", "ring", (F.col("x") + 53.5 * F.cos(angle)).alias("x"), (F.col("y") + 53.5 * F.sin(angle)).alias("y"), (F.col("z") + F.when(F.col("ring") == 0, -25).otherwise(25)).alias("z"))
 
 
-@query("detrended_profile", f"""WITH h AS (SELECT CAST(floor(y / 10) AS BIGINT) AS k, count(*) AS n FROM {POINTS} GROUP BY 1),
-s AS (SELECT a.k, sum(b.n * exp(-pow((b.k - a.k) / 2.0, 2) / 2)) / sum(exp(-pow((b.k - a.k) / 2.0, 2) / 2)) AS v FROM h a JOIN h b ON b.k BETWEEN a.k - 6 AND a.k + 6 GROUP BY a.k),
-w AS (SELECT a.k, a.v, sum(b.v * exp(-pow((b.k - a.k) / 10.0, 2) / 2)) / sum(exp(-pow((b.k - a.k) / 10.0, 2) / 2)) AS t FROM s a JOIN s b ON b.k BETWEEN a.k - 30 AND a.k + 30 GROUP BY a.k, a.v)
-SELECT k, {r('v', 'smooth')}, {r('v - t', 'detrended')} FROM w""")
-def _(spark, d):
-    h = points(spark, d).groupBy(F.floor(F.col("y") / 10).alias("k")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+def _mirrored(source: str, sigma: int) -> str:
+    """A profile (k, v) smoothed in SQL; beyond its ends it is mirrored."""
+    total = sum(math.exp(-((o / sigma) ** 2) / 2) for o in range(-4 * sigma, 4 * sigma + 1))
+    return f"""SELECT t.k, sum(s.v * exp(-pow(o / {sigma}.0, 2) / 2)) / {total} AS v FROM (SELECT k, o, (k - lo + o) % (2 * n) AS m, lo, n FROM (SELECT k, lo, n, unnest(range({-4 * sigma}, {4 * sigma + 1})) AS o FROM {source}, (SELECT min(k) AS lo, max(k) - min(k) + 1 AS n FROM {source}))) t
+ JOIN {source} s ON s.k = lo + least((m + 2 * n) % (2 * n), 2 * n - 1 - (m + 2 * n) % (2 * n)) GROUP BY t.k"""
 
-    def smoothed(df, sigma):
-        """Gaussian mean over the bins there are within three sigmas: each bin is dealt to the bins it reaches."""
-        reach = int(3 * sigma)
-        near = df.select(F.col("k").alias("from"), F.col("v").alias("w"), F.explode(F.sequence(F.col("k") - reach, F.col("k") + reach)).alias("k"))
-        weight = F.exp(-F.pow((F.col("from") - F.col("k")) / float(sigma), 2) / 2)
-        return near.groupBy("k").agg((F.sum(F.col("w") * weight) / F.sum(weight)).alias("v")).join(df.select("k"), "k", "left_semi")
 
-    s = smoothed(h, 2)
-    return s.withColumnRenamed("v", "smooth").join(smoothed(s, 10).withColumnRenamed("v", "t"), "k").select("k", "smooth", (F.col("smooth") - F.col("t")).alias("detrended"))
+@query("detrended_profile", f"""WITH g AS (SELECT CAST(floor(y / 10) AS BIGINT) AS k, count(*) AS v FROM {POINTS} GROUP BY 1),
+h AS (SELECT r.k, coalesce(g.v, 0) AS v FROM (SELECT unnest(range(min(k), max(k) + 1)) AS k FROM g) r LEFT JOIN g ON r.k = g.k), s AS ({_mirrored('h', 2)}), b AS ({_mirrored('s', 10)})
+SELECT s.k, {r('s.v', 'smooth')}, {r('s.v - b.v', 'detrended')} FROM s JOIN b ON s.k = b.k""")
+def _(spark, d):
+    return paths.detrended(paths.profile_bins(points(spark, d), "y", 10.0), 2.0, 10.0)
 
 
 # ---- sets, columns and exports ---------------------------------------------------------------------------------
@@ -271,7 +297,7 @@ def _(spark, d):
 
 @query("time_units", f"""WITH s AS (SELECT tid, abs(tim - lag(tim) OVER (PARTITION BY tid ORDER BY row_id)) AS d, tim FROM {STREAM}),
 q AS (SELECT tid, quantile_cont(d, 0.5) / 100000 AS step, bool_and(tim = floor(tim)) AS whole FROM s GROUP BY tid)
-SELECT tid, {r('step', 'step')}, CASE WHEN whole THEN NULL WHEN step < 0.1 THEN 's' WHEN step <= 50 THEN 'ms' END AS unit FROM q""")
+SELECT tid, {r('step', 'step')}, CASE WHEN whole OR step IS NULL OR step <= 0 THEN NULL WHEN step < 0.1 THEN 's' WHEN step <= 50 THEN 'ms' END AS unit FROM q""")
 def _(spark, d):
     s = stream(spark, d).withColumn("d", F.abs(F.col("tim") - F.lag("tim").over(Window.partitionBy("tid").orderBy("row_id"))))
     q = s.groupBy("tid").agg((F.percentile("d", F.lit(0.5)) / 100000).alias("step"), F.bool_and(F.col("tim") == F.floor("tim")).alias("whole"))
@@ -312,5 +338,5 @@ def _(spark, d):
 
 @query("plot_series", f"SELECT tid, row_id, {r('tim', 'tim')}, {r('eco', 'eco')} FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY row_id) AS k FROM {STREAM} WHERE eco > 5) WHERE (k - 1) % 3 = 0")
 def _(spark, d):
-    kept = iterations.with_position(stream(spark, d).where("eco > 5"))
+    kept = iterations.with_trace_position(stream(spark, d).where("eco > 5"))
     return kept.where("(idx - 1) % 3 = 0").select("tid", "row_id", *sets.plot_columns(kept.select("tim", "eco")))

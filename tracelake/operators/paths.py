@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -68,3 +69,31 @@ def straightened(points: DataFrame, vertices: np.ndarray, half_width: float, siz
     out = best.select((F.col("arc") + dot("t")).alias("s"), dot("n").alias("u"), dot("b").alias("v"))
     out = out.where((F.abs("u") <= half_width) & (F.abs("v") <= half_width))
     return out.groupBy(*(F.floor(F.col(c) / size).cast("long").alias(c) for c in "suv")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def profile_bins(points: DataFrame, c: str, width: float) -> DataFrame:
+    """``(k, v)``: counts along a coordinate by bins, those without a point included."""
+    counts = points.groupBy(F.floor(F.col(c) / width).cast("long").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    every = counts.agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias("k"))
+    return every.join(counts, "k", "left").select("k", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def smoothed_profile(profile: DataFrame, sigma: float) -> DataFrame:
+    """``(k, v)``: Gaussian mean of a profile without gaps, cut at four sigma; beyond its ends it is mirrored."""
+    if sigma <= 1e-6:
+        return profile.select("k", "v")
+    reach = int(4 * sigma + 0.5)
+    total = sum(math.exp(-((o / sigma) ** 2) / 2) for o in range(-reach, reach + 1))
+    ends = profile.agg(F.min("k").alias("lo"), (F.max("k") - F.min("k") + 1).alias("n"))
+    each = profile.select("k").crossJoin(F.broadcast(ends)).withColumn("o", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))  # one row of ends
+    turn = F.pmod(F.col("k") - F.col("lo") + F.col("o"), 2 * F.col("n"))
+    source = F.col("lo") + F.least(turn, 2 * F.col("n") - 1 - turn)
+    taken = each.select("k", source.alias("from"), (F.exp(-F.pow(F.col("o") / sigma, F.lit(2)) / 2) / total).alias("w"))
+    return taken.join(profile.select(F.col("k").alias("from"), "v"), "from").groupBy("k").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+
+def detrended(profile: DataFrame, smooth: float, background: float) -> DataFrame:
+    """``(k, smooth, detrended)``: a smoothed profile and what is left of it without a wider smoothing, in bins; without a width, without its mean."""
+    s = smoothed_profile(profile, smooth).withColumnRenamed("v", "smooth")
+    under = smoothed_profile(s.withColumnRenamed("smooth", "v"), background) if background > 1e-6 else s.select("k").crossJoin(F.broadcast(s.agg(F.avg("smooth").alias("v"))))
+    return s.join(under, "k").select("k", "smooth", (F.col("smooth") - F.col("v")).alias("detrended"))

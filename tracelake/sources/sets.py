@@ -92,8 +92,8 @@ def bounds_of(df: DataFrame, column: str) -> DataFrame:
 
 
 def time_unit(step: Column, whole: Column) -> Column:
-    """s for a median step below 0.1, ms up to 50, null for whole numbers or larger steps."""
-    return F.when(whole, F.lit(None)).when(step < 0.1, "s").when(step <= 50, "ms")
+    """s for a median step below 0.1, ms up to 50, null for whole numbers, larger steps and those of zero or less."""
+    return F.when(whole | step.isNull() | F.isnan(step) | (step <= 0), F.lit(None)).when(step < 0.1, "s").when(step <= 50, "ms")
 
 
 def export_estimate(df: DataFrame, rate: float = 180 * 2**20) -> DataFrame:
