@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import volumes, voronoi
+from tracelake.operators import segmentation, tracing, volumes, voronoi
 from tracelake.plans.roles import view
 from tracelake.queries import CLOUD, POINTS, points, query, r
 
@@ -39,3 +39,24 @@ def _(spark, d):
 @query("volume_detections")
 def _(spark, d):
     return volumes.detections(view(spark, d, "cloud"), "gaussian", {"fwhm": 60.0}, 20.0, 20.0, 0.4).select("x", "y", "z", "score")
+
+
+# ---- skeleton paths --------------------------------------------------------------------------------------------
+
+
+@query("skeleton_paths")
+def _(spark, d):
+    return tracing.path_lengths(tracing.traced(segmentation.skeleton(points(spark, d), 20.0), 3), 20.0)
+
+
+@query("pixel_paths", f"""WITH RECURSIVE px AS (SELECT DISTINCT CAST(floor(x / 25) AS BIGINT) AS x, CAST(floor(y / 25) AS BIGINT) AS y FROM {POINTS} WHERE z < 40),
+ s AS (SELECT a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM px a JOIN px b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)),
+ g AS (SELECT px AS x, py AS y, count(*) <> 2 AS node FROM s GROUP BY 1, 2),
+ w AS (SELECT s.*, s.px AS sx, s.py AS sy, s.qx AS fx, s.qy AS fy, 2 AS n, h.node AS over FROM s JOIN g ON g.x = px AND g.y = py AND g.node JOIN g h ON h.x = qx AND h.y = qy
+  UNION ALL SELECT s.*, sx, sy, fx, fy, n + 1, h.node FROM w JOIN s ON s.px = w.qx AND s.py = w.qy AND NOT (s.qx = w.px AND s.qy = w.py) JOIN g h ON h.x = s.qx AND h.y = s.qy WHERE NOT w.over)
+SELECT concat_ws(',', sx, sy, fx, fy) AS path, CAST(n AS BIGINT) AS pixels FROM w WHERE over AND (sx, sy, fx, fy) < (qx, qy, px, py) AND (sx <> qx OR sy <> qy)""")
+def _(spark, d):
+    px = points(spark, d).where("z < 40").select(F.floor(F.col("x") / 25).cast("long").alias("i_x"), F.floor(F.col("y") / 25).cast("long").alias("i_y"))
+    paths = tracing.traced(px)
+    open_ = paths.groupBy("path").agg(F.count(F.lit(1)).alias("pixels"), F.min_by(F.struct("i_x", "i_y"), "k").alias("a"), F.max_by(F.struct("i_x", "i_y"), "k").alias("b"))
+    return open_.where("a <> b").select("path", "pixels")  # SQL walks from nodes only, and so leaves out rings
