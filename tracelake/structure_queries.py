@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import segmentation, tracing, volumes, voronoi
+from tracelake.operators import masks, segmentation, tracing, volumes, voronoi
 from tracelake.plans.roles import view
 from tracelake.queries import CLOUD, POINTS, points, query, r
 
@@ -60,3 +60,36 @@ def _(spark, d):
     paths = tracing.traced(px)
     open_ = paths.groupBy("path").agg(F.count(F.lit(1)).alias("pixels"), F.min_by(F.struct("i_x", "i_y"), "k").alias("a"), F.max_by(F.struct("i_x", "i_y"), "k").alias("b"))
     return open_.where("a <> b").select("path", "pixels")  # SQL walks from nodes only, and so leaves out rings
+
+
+# ---- masks -----------------------------------------------------------------------------------------------------
+
+
+def _mask(spark, d):
+    p = points(spark, d)
+    px = p.groupBy(F.floor(F.col("x") / 50).cast("long").alias("i_x"), F.floor(F.col("y") / 50).cast("long").alias("i_y")).agg(F.avg("z").alias("v"))
+    return masks.runs_of(px.where("v > 55"))
+
+
+_MASK = f"""m AS (SELECT CAST(floor(x / 50) AS BIGINT) AS i_x, CAST(floor(y / 50) AS BIGINT) AS i_y FROM {POINTS} GROUP BY 1, 2 HAVING avg(z) > 55),
+ f AS (SELECT unnest(range(min(i_x) - 1, max(i_x) + 2)) AS i_x, min(i_y) AS lo, max(i_y) AS hi FROM m), g AS (SELECT i_x, unnest(range(lo - 1, hi + 2)) AS i_y FROM f),
+ b AS (SELECT * FROM g EXCEPT SELECT * FROM m)"""
+
+
+@query("mask_distances", f"""WITH {_MASK} SELECT m.i_x, m.i_y, {r('sqrt(min(pow(m.i_x - b.i_x, 2) + pow(m.i_y - b.i_y, 2)))', 'd')} FROM m, b GROUP BY m.i_x, m.i_y""")
+def _(spark, d):
+    return masks.distances(_mask(spark, d))
+
+
+@query("mask_components", f"""WITH RECURSIVE {_MASK}, t AS (SELECT i_x AS sx, i_y AS sy, i_x, i_y FROM m UNION SELECT t.sx, t.sy, m.i_x, m.i_y FROM t JOIN m ON abs(m.i_x - t.i_x) + abs(m.i_y - t.i_y) = 1),
+ l AS (SELECT i_x, i_y, min((sx, sy)) AS f FROM t GROUP BY i_x, i_y) SELECT f[1] AS x, f[2] AS y, count(*) AS pixels, min(i_y) AS lo, max(i_y) AS hi FROM l GROUP BY f""")
+def _(spark, d):
+    found = masks.labelled(_mask(spark, d)).groupBy("label").agg(F.sum(F.col("b") - F.col("a") + 1).alias("pixels"), F.min("i_y").alias("lo"), F.max("i_y").alias("hi"))
+    place = (F.floor(F.col("label") / masks.SPAN) - masks.SPAN // 2).alias("x"), (F.col("label") % masks.SPAN - masks.SPAN // 2).alias("y")
+    return found.select(*place, "pixels", "lo", "hi")
+
+
+@query("cell_border")
+def _(spark, d):
+    p = points(spark, d)
+    return masks.cells(p, border=60.0, size=20.0, smooth=40.0, close=40.0, min_area=4_000.0).of(p)
