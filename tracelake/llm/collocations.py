@@ -1,7 +1,8 @@
 """Phrases mined by partitioning (SON): shards first, then one exact count of all candidates.
 
-1. Documents are dealt to ``shards`` by a hash of their id and written once as
-   lists of 64-bit word hashes, 0 between pieces.
+1. Documents are written once as lists of 32-bit word hashes, 0 between pieces;
+   what one task writes belongs to one of ``shards`` shards.  Words that share a
+   hash only make candidates that the last step counts and rejects.
 2. Each shard is mined completely, all shards side by side in the same Spark
    jobs: phrases of k words are counted where both phrases of k - 1 words inside
    are frequent in the shard.  A shard's support is lowered in proportion to
@@ -26,6 +27,8 @@ count each; an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,9 +40,10 @@ from tracelake.storage import release
 
 MOST = 4  # words of a phrase
 BREAK = b"."  # between pieces; no word has it
-CHUNK = 2_000_000  # words that a task counts at once
-SEGMENT = 4 << 20  # bytes of a text that are words at once
-VOCABULARY = 500_000  # words whose numbers a task keeps
+CHUNK = 500_000  # words that a task counts at once
+SEGMENT = 1 << 20  # bytes of a text that are words at once
+LANGUAGES = 16  # that a task keeps apart at once
+VOCABULARY = 50_000  # words whose numbers a task keeps
 #: Ends of pieces become line ends, the tab a space.
 ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 
@@ -55,9 +59,27 @@ def words_of(text: str):
         at = end
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh32_intdigest(word) or 1
+
+
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = 0 if word == BREAK else xxhash.xxh3_64_intdigest(word) or 1
+        value = self[word] = 0 if word == BREAK else word_hash(word)
+        return value
+
+
+class Codes(dict):
+    """Words numbered as they come, with their hashes; BREAK is 0."""
+
+    def __init__(self):
+        self.names, self.hashes = [BREAK], [0]
+        super().__init__({BREAK: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self.names)
+        self.names.append(word)
+        self.hashes.append(word_hash(word))
         return value
 
 
@@ -75,7 +97,7 @@ def present(bits: np.ndarray, hashes: np.ndarray, seed: int) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def tokens(docs: DataFrame, shards: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def tokens(docs: DataFrame, shards: int, text_col: str, lang_col: str) -> DataFrame:
     """``(lang, shard, seed, n, words)``, a row a document; seed stands for language and shard."""
 
     def encode(batches):
@@ -85,20 +107,20 @@ def tokens(docs: DataFrame, shards: int, id_col: str, text_col: str, lang_col: s
             for lo in range(0, batch.num_rows, 64):
                 lists = []
                 for i in range(lo, min(lo + 64, batch.num_rows)):
-                    parts = [np.fromiter(map(known.__getitem__, part), np.uint64, len(part)) for part in words_of(texts[i].as_py() or "")]
-                    lists.append(np.concatenate(parts) if parts else np.empty(0, np.uint64))
+                    parts = [np.fromiter(map(known.__getitem__, part), np.uint32, len(part)) for part in words_of(texts[i].as_py() or "")]
+                    lists.append(np.concatenate(parts) if parts else np.empty(0, np.uint32))
                     if len(known) > VOCABULARY:
                         known.clear()
                 ends = np.cumsum([0, *map(len, lists)])
-                flat = np.concatenate(lists).view(np.int64)
+                flat = np.concatenate(lists).view(np.int32)
                 counts = pa.array([int((x != 0).sum()) for x in lists], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [lang.slice(lo, 64), shard.slice(lo, 64), seed.slice(lo, 64), counts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["lang", "shard", "seed", "n", "words"]
                 )
 
-    lang, shard = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")
+    lang, shard = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), F.pmod(F.spark_partition_id(), F.lit(shards))
     rows = docs.select(F.col(text_col).alias("text"), lang.alias("lang"), shard.alias("shard")).select("text", "lang", "shard", F.xxhash64("lang", "shard").alias("seed"))
-    return rows.mapInArrow(encode, "lang string, shard int, seed long, n long, words array<long>")
+    return rows.mapInArrow(encode, "lang string, shard int, seed long, n long, words array<int>")
 
 
 def mined(coded: DataFrame, k: int, before: np.ndarray | None) -> DataFrame:
@@ -106,7 +128,7 @@ def mined(coded: DataFrame, k: int, before: np.ndarray | None) -> DataFrame:
 
     def counted(held):
         for seed, lists in held.items():
-            words = np.concatenate([x for part in lists for x in (part, np.zeros(1, np.uint64))])
+            words = np.concatenate([x for part in lists for x in (part, np.zeros(1, np.uint32))]).astype(np.uint64)
             inside, phrase = words != 0, words
             for j in range(1, k):
                 if j == k - 1:
@@ -121,7 +143,7 @@ def mined(coded: DataFrame, k: int, before: np.ndarray | None) -> DataFrame:
         for batch in batches:
             seeds, lists = batch.columns
             for seed, words in zip(seeds.to_pylist(), lists, strict=True):
-                part = words.values.to_numpy().view(np.uint64)
+                part = words.values.to_numpy().view(np.uint32)
                 held.setdefault(seed, []).append(part)
                 size += len(part) + 1
                 if size >= CHUNK:
@@ -145,11 +167,9 @@ def bitmap(hashes: DataFrame, seed: str, filter_bits: int) -> np.ndarray:
 def phrase_counts(docs: DataFrame, support: int, bits: np.ndarray, text_col: str, lang_col: str) -> DataFrame:
     """``(lang, k, phrase, f)``: exact counts of phrases of 1 to ``MOST`` words that are in the bitmap and have ``support``."""
 
-    def counted(lang, seed, words, codes):
-        names = list(words)
-        hashes = np.fromiter((Hashes.__missing__({}, w) for w in names), np.uint64, len(names))
-        code = np.concatenate(codes)
-        word = hashes[code]
+    def counted(lang, seed, known, codes):
+        names, code = np.array(known.names, object), np.concatenate(codes)
+        word = np.array(known.hashes, np.uint64)[code]
         phrase, prefix, inside = word, code, word != 0
         for k in range(1, MOST + 1):
             if k > 1:
@@ -163,8 +183,8 @@ def phrase_counts(docs: DataFrame, support: int, bits: np.ndarray, text_col: str
                 return
             found, first, inverse, n = np.unique(prefix[at], return_index=True, return_inverse=True, return_counts=True)
             first = at[first]
-            texts = [b" ".join([names[c] for c in code[i : i + k]]).decode() for i in first]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(np.full(len(found), k, np.int32)), pa.array(texts, pa.string()), pa.array(n)], ["lang", "k", "phrase", "n"])
+            texts = pa.array(list(map(b" ".join, zip(*(names[code[first + j]] for j in range(k)), strict=True))), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(np.full(len(found), k, np.int32)), texts, pa.array(n)], ["lang", "k", "phrase", "n"])
             prefix = np.zeros(len(prefix), np.int64)  # phrases are numbered anew, so that a word more fits in
             prefix[at] = inverse
 
@@ -172,19 +192,29 @@ def phrase_counts(docs: DataFrame, support: int, bits: np.ndarray, text_col: str
         held, size = {}, 0
 
         def flush():
-            for (lang, seed), (words, codes) in held.items():
-                yield from counted(lang, seed, words, codes)
-            held.clear()
+            for (lang, seed), (known, codes) in list(held.items()):
+                if codes:
+                    yield from counted(lang, seed, known, codes)
+                codes.clear()
+                if len(known) > VOCABULARY:
+                    del held[lang, seed]
 
         for batch in batches:
             texts, langs, seeds = batch.columns
             for i in range(batch.num_rows):
-                words, codes = held.setdefault((langs[i].as_py(), seeds[i].as_py()), ({BREAK: 0}, []))
+                key = (langs[i].as_py(), seeds[i].as_py())
+                if key not in held:
+                    if len(held) >= LANGUAGES:
+                        yield from flush()
+                        held.clear()
+                        size = 0
+                    held[key] = (Codes(), [])
+                known, codes = held[key]
                 for part in words_of(texts[i].as_py() or ""):
-                    codes.append(np.fromiter((words.setdefault(w, len(words)) for w in part), np.int64, len(part)))
+                    codes.append(np.fromiter(map(known.__getitem__, part), np.int64, len(part)))
                     size += len(part)
                 codes.append(np.zeros(1, np.int64))
-                if size >= CHUNK:
+                if size >= 2 * CHUNK:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -196,24 +226,25 @@ def phrase_counts(docs: DataFrame, support: int, bits: np.ndarray, text_col: str
 
 
 def frequent_phrases(
-    docs: DataFrame, support: int = 30, shards: int = 10, filter_bits: int = 26, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, support: int = 30, shards: int = 5, filter_bits: int = 26, text_col: str = "text", lang_col: str = "lang"
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, k, phrase, f)`` of all phrases with ``support`` and ``(lang, n)`` with the number of all words, both stored."""
     if not 15 <= filter_bits <= 31:
         raise ValueError("filter_bits is 15 to 31")
-    coded = stored(tokens(docs, shards, id_col, text_col, lang_col), "phrase-words")
+    coded = stored(tokens(docs, shards, text_col, lang_col), "phrase-words")
     shares = coded.groupBy("lang", "seed").agg(F.sum("n").alias("w"))
     totals = stored(shares.groupBy("lang").agg(F.sum("w").alias("n")), "phrase-totals")
     # support times words of the shard over words of the language, rounded up
     least = F.expr(f"({support} * w + n - 1) DIV n")
     least = stored(shares.join(totals, "lang").where("n > 0").select("seed", "lang", least.alias("least"), F.xxhash64("lang").alias("lang_seed")), "phrase-supports")
-    bits, levels = None, []
+    levels, bits = [], None
     for k in range(1, MOST + 1):
         found = mined(coded, k, bits).join(least, "seed").where("n >= least").select("seed", "lang_seed", "h")
         levels.append(stored(found, "phrase-level"))
-        if k < MOST:
-            bits = bitmap(levels[-1], "seed", filter_bits)
-    union = levels[0].unionAll(levels[1]).unionAll(levels[2]).unionAll(levels[3])
+        bits = bitmap(levels[-1], "seed", filter_bits) if k < MOST else None
+        if bits is None or not bits.any():
+            break
+    union = reduce(DataFrame.unionAll, levels)
     bits = bitmap(union, "lang_seed", filter_bits)
     counts = stored(phrase_counts(docs, support, bits, text_col, lang_col), "phrase-counts")
     release(coded, least, *levels)
@@ -258,7 +289,7 @@ def top_phrases(docs: DataFrame, top: int = 2000, support: int = 30, **options)
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    return top_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang"))
 
 
 OP13_SQL = """
