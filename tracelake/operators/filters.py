@@ -24,13 +24,20 @@ class Spec:
     hi_inc: bool = True
 
 
+#: A sum's last digits depend on its order, so a mean or a deviation is on a bound within this share of it.
+ON_BOUND = 1e-12
+
+
 def in_range(v: Column, spec: Spec) -> Column:
     """NaN fails; null gives null, which fails in ``where`` and leaves the bounds to be pushed to the scan."""
     ok = v.isNotNull() & ~F.isnan(v)
+    share = ON_BOUND if spec.mode in ("mean", "stdev") else 0.0
     if spec.lo is not None:
-        ok = ok & (v >= spec.lo if spec.lo_inc else v > spec.lo)
+        lo, room = float(spec.lo), abs(spec.lo) * share
+        ok = ok & (v >= lo - room if spec.lo_inc else v > lo + room)
     if spec.hi is not None:
-        ok = ok & (v <= spec.hi if spec.hi_inc else v < spec.hi)
+        hi, room = float(spec.hi), abs(spec.hi) * share
+        ok = ok & (v <= hi + room if spec.hi_inc else v < hi - room)
     return ok
 
 
