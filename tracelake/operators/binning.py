@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,7 +36,9 @@ def photon_bins(df: DataFrame, threshold: float, photons: str = "eco", values: S
     rows = df.join(marked, ["tid", order])
     w = F.col(photons).cast("double")
     mean = lambda c: F.when(F.sum(w) > 0, F.sum(F.col(c) * w) / F.sum(w)).otherwise(F.avg(c))
-    time = mean("tim") if weighted_time else F.min_by("tim", order)
+    rows = rows.withColumn("__t0", F.min("tim").over(Window.partitionBy("tid", "chunk")))  # sums of seconds since then keep the digits that sums of epoch seconds lose
+    since = F.col("tim") - F.col("__t0")
+    time = F.min("__t0") + F.when(F.sum(w) > 0, F.sum(since * w) / F.sum(w)).otherwise(F.avg(since)) if weighted_time else F.min_by("tim", order)
     chunks = rows.groupBy("tid", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("photons"), time.alias("tim"), *(mean(v).alias(v) for v in values))
     last = chunks.groupBy("tid").agg(F.max("chunk").alias("__last"))
     return chunks.join(last, "tid").withColumn("bot", F.col("chunk") == 0).withColumn("eot", F.col("chunk") == F.col("__last")).drop("__last")
