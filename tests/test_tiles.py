@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.operators import resampling, spatial, tiles
+from tracelake.operators import graph, resampling, spatial, tiles
 
 
 @pytest.fixture
@@ -79,3 +79,16 @@ def test_suppression(crowd):
     odd = df.sparkSession.createDataFrame([(900, 1.0, 1.0, None), (901, None, 1.0, 3.0), (902, float("nan"), 1.0, 3.0)], "id long, x double, y double, z double")
     got = spatial.apart(df.unionAll(odd).withColumnRenamed("z", "score"), 4.0)
     assert {r.id for r in got.collect()} == {*kept, 900, 901, 902}
+
+
+def test_dbscan(crowd):
+    at, df = crowd
+    near = {i: [j for j in at if gap(at[i], at[j]) <= 2.0] for i in at}
+    core = {i for i in at if len(near[i]) >= 4}
+    root = {i: i for i in core}
+    changed = True
+    while changed:
+        low = {i: min(root[j] for j in near[i] if j in core) for i in core}
+        changed, root = low != root, low
+    want = {i: root[i] if i in core else min((root[j] for j in near[i] if j in core), default=-1) for i in at}
+    assert -1 in want.values() and {r.id: r.cluster for r in graph.dbscan(df, 2.0, 4).collect()} == want
