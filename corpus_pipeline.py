@@ -7,8 +7,10 @@ return the columns of ``documents``.  The parts belong to the text operators of
 1. toxicity: documents scored 0.5 or more go.
 2. line dedup: lines that 10 or more documents hold go; the texts left stay,
    with ``n_chars`` counted anew.
-3. SimHash near-dedup: of each group of documents linked by a similarity of 0.8
-   or more (exact, see ``near_copies``) the one with the smallest id stays.
+3. SimHash near-dedup: of each group of documents whose fingerprints are linked
+   by 3 or fewer differing bits (see ``simhash``) the one with the smallest id stays;
+   an exact check follows, which does the same by a similarity of 0.8 or more of the
+   texts left (see ``near_copies``).
 4. benchmark decontamination: documents in which benchmark windows cover at
    least ``MIN_HIT_WORDS`` words go.
 5. packing: pieces of at most 1024 tokens.
@@ -24,6 +26,7 @@ from tracelake.llm.decontamination import decontaminate
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.near_copies import near_components
 from tracelake.llm.packing import pack
+from tracelake.llm.simhash import simhash_components
 from tracelake.llm.toxicity import score, train
 
 MIN_HIT_WORDS = 1
@@ -52,8 +55,13 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Linked by five-word shingles with a Jaccard similarity of at least 0.8. Rows with null ids stay."""
-    groups = near_components(docs)
+    """Linked by SimHash fingerprints of three-word shingles, then by a Jaccard similarity of at least 0.8 of five-word shingles. Rows with null ids stay."""
+    left = stored(_firsts(docs, simhash_components(docs.select("doc_id", "text"))), "simhash-firsts")
+    return _firsts(left, near_components(left))
+
+
+def _firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows but those with another id than their group's."""
     gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*docs.columns)
 
