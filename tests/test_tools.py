@@ -95,3 +95,23 @@ def test_facade(tmp_path, spark):
     assert e.view("a").count() == 20 and spark.read.json(str(tmp_path / "journal")).count() == 3
     with pytest.raises(ValueError):
         e.add("a", spark.range(1))
+
+
+def test_merged_sites_go_on_from_tile_to_tile(spark, monkeypatch):
+    """Larger components than a tile, equal positions, ties, and points without a place."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate([np.round(rng.uniform(0, 30, (500, 2)) * 2) / 2, rng.uniform(0, 30, (200, 2))])
+    site = np.arange(700)
+    pairs = sorted((float(np.hypot(*(p[i] - p[j]))), i, j) for i in range(700) for j in range(i + 1, 700) if abs(p[i] - p[j]).max() <= 2)
+    for d, i, j in pairs:
+        a, b = sorted((site[i], site[j]))
+        if d <= 2 and a != b:
+            m = p[(site == a) | (site == b)]
+            if np.hypot(*(m[:, None] - m[None]).transpose(2, 0, 1)).max() <= 2.5:
+                site[site == b] = a
+    rows = [(i, *map(float, q)) for i, q in enumerate(p)] + [(900, float("nan"), 1.0), (901, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    monkeypatch.setattr(resampling, "SPOTS", 4)
+    monkeypatch.setattr(resampling, "PAIRS", 300)
+    got = {r.id: r.site for r in resampling.merged_sites(df, 2.0, 2.5).collect()}
+    assert got == dict(enumerate(site.tolist())) | {900: 900, 901: 901}
