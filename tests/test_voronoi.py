@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tracelake.operators import voronoi
@@ -127,3 +128,15 @@ def test_images_of_parts_are_parts_of_the_image(spark):
     assert np.array_equal(np.concatenate([image((0, 20, 0, 40), (8, 16)), image((20, 40, 0, 40), (8, 16))]), whole) and not np.isnan(whole).any()
     with pytest.raises(ValueError, match="grow"):
         image((1, 1, 0, 1), (2, 2))
+
+
+def test_cells_on_the_edge_of_a_set_are_final_in_their_tile():
+    """Else all of them would meet in the last tile, one task."""
+    pdf = pd.DataFrame([(float(x), float(y), x < 20) for x in range(40) for y in range(10)], columns=["x", "y", "own"])
+    pdf = pdf.assign(n=1, t_x=0, t_y=0, near=[np.zeros(0)] * len(pdf))
+    out = voronoi._tile_cells(["x", "y"], 20.0, [0.0, 0.0], [999.0, 9.0], 1e5 * 999)(pdf)
+    assert len(out) == 200 and out["final"].all()
+    assert np.isinf(out["size"]).sum() == 10 + 2 * 19 and np.allclose(out["size"][np.isfinite(out["size"])], 1.0)
+    # not if the set goes on where that may matter
+    lower = voronoi._tile_cells(["x", "y"], 20.0, [0.0, -50.0], [999.0, 9.0], 1e5 * 999)(pdf.assign(t_y=2))
+    assert lower["final"].sum() < 200 and not lower["final"][lower["y"] == 0].any()

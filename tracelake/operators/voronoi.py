@@ -8,9 +8,10 @@ it, so faces are intervals (in space: sums over intervals) that all other
 bisectors cut.  The search begins with the nearest positions and adds any that
 lies nearer to a corner of the cell than its own position, until none does.
 
-A cell is final if everything within twice its farthest corner lies in the
-tiles seen.  The others go on, with the neighbours found so far, to tiles four
-times as large.  Two positions that share a face but haven't met are both still
+A cell is final if the balls around its corners, through its own position,
+have no room for unseen positions: these lie beyond the tiles seen and inside the
+box of all positions, so cells on the edge of a set can be final at once.  The
+others go on, with the neighbours found so far, to tiles four times as large.  Two positions that share a face but haven't met are both still
 open, so a round needs the open positions only; these become few quickly.
 Positions in nearly empty tiles wait for larger ones, and are told of the
 finished cells that they border on.
@@ -41,6 +42,7 @@ TILE = 128  # positions of a tile on average
 CROWD = 1024  # and at most
 FEW = 8  # a tile with fewer positions isn't worth a look yet
 ROWS = 64  # cells that a task computes at once
+TABLE = 1 << 18  # and neighbours, to the power of the dimensions, of them together
 
 
 def positions(points: DataFrame, axes: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -125,42 +127,73 @@ def _cut(start: np.ndarray, along: np.ndarray, to: np.ndarray, half: np.ndarray,
     return np.where(outside, 0.0, lo), np.where(outside, 0.0, hi)
 
 
-def cells_of(own: np.ndarray, block: np.ndarray, carried: list[np.ndarray], far: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sizes, distances of the farthest corners and the neighbours with a face, of the cells of ``own`` among ``block`` and each one's carried positions."""
+def cells_of(own: np.ndarray, block: np.ndarray, carried: list[np.ndarray], far: float, unseen: Sequence[tuple[np.ndarray, np.ndarray]] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sizes, whether they are final and the neighbours with a face, of the cells of ``own`` among ``block`` and each one's carried positions.
+
+    A cell is final if no box of ``unseen`` (its least and largest corner) has room for a position nearer to a corner of the cell than its own.
+    """
     n, d = own.shape
-    size, reach, near = np.full(n, np.inf), np.full(n, np.inf), [np.zeros((0, d))] * n
+    size, final, near = np.full(n, np.inf), np.full(n, not len(unseen)), [np.zeros((0, d))] * n
     for lo in range(0, n, ROWS):
         site = own[lo : lo + ROWS]
         every = np.unique(np.concatenate([block, *[c for c in carried[lo : lo + ROWS] if len(c)]]), axis=0)
-        away = ((site[:, None] - every[None]) ** 2).sum(-1)
-        away[away == 0] = np.inf
         k = min(FIRST[d], len(every) - 1)
         if k < 1:
             continue
-        chosen = [set(row) for row in np.argpartition(away, k - 1, 1)[:, :k]]
+        away = np.stack([((every - s) ** 2).sum(-1) for s in site])
+        away[away == 0] = np.inf
+        chosen = [set(row) for row in np.argpartition(away, k - 1, 1)[:, :k].tolist()]
+        number = {tuple(p): j for j, p in enumerate(every.tolist())}
         for i, c in enumerate(carried[lo : lo + ROWS]):
-            if len(c):
-                chosen[i] |= set(np.flatnonzero((every[:, None] == c[None]).all(-1).any(1)))
-        open_ = np.arange(len(site))
-        while len(open_):
-            most = max(len(chosen[i]) for i in open_)
-            at = np.array([sorted(chosen[i]) + [-1] * (most - len(chosen[i])) for i in open_])
-            bears, sizes, corners = faces(site[open_], every[at], at >= 0, far)
+            chosen[i] |= {number[tuple(p)] for p in c.tolist()}
+        open_ = list(range(len(site)))
+        while open_:
             still = []
-            for row, i in enumerate(open_):
-                c = corners[row][~np.isnan(corners[row, :, 0])]
-                mine = ((c - site[i]) ** 2).sum(1)
-                between = ((c[:, None] - every[None]) ** 2).sum(-1) if len(c) else np.zeros((0, len(every)))
-                hit = set(np.unique(between.argmin(1)[between.min(1) < mine * (1 - BESIDE)])) - {j for j in at[row] if j >= 0} if len(c) else set()
-                kept = {int(j) for j, b in zip(at[row], bears[row], strict=True) if b and j >= 0}
-                if hit:
-                    chosen[i] = kept | hit
-                    still.append(i)
-                else:
-                    size[lo + i], reach[lo + i] = sizes[row], np.sqrt(mine.max(initial=0.0)) if len(c) else np.inf
-                    near[lo + i] = every[sorted(kept)]
-            open_ = np.array(still, dtype=int)
-    return size, reach, near
+            for some in _alike(open_, chosen, d):
+                most = max(len(chosen[i]) for i in some)
+                at = np.array([sorted(chosen[i]) + [-1] * (most - len(chosen[i])) for i in some])
+                bears, sizes, corners = faces(site[some], every[at], at >= 0, far)
+                for row, i in enumerate(some):
+                    c = corners[row][~np.isnan(corners[row, :, 0])] - site[i]
+                    mine = (c**2).sum(1)
+                    # only what lies within twice the farthest corner can be nearer to a corner
+                    within = np.flatnonzero(away[i] <= 4 * mine.max(initial=0.0) * (1 + BESIDE))
+                    hit, to = set(), every[within] - site[i]
+                    for part in range(0, len(c) if len(within) else 0, max(1, (1 << 20) // len(within))):
+                        ends = slice(part, part + max(1, (1 << 20) // len(within)))
+                        nearer = away[i, within] - 2 * (c[ends] @ to.T)  # squared distance to the corner, less the own position's
+                        hit |= set(within[np.unique(nearer.argmin(1)[nearer.min(1) < -BESIDE * mine[ends]])].tolist())
+                    hit -= chosen[i]
+                    kept = {j for j, b in zip(at[row].tolist(), bears[row].tolist(), strict=True) if b and j >= 0}
+                    if hit:
+                        chosen[i] = kept | hit
+                        still.append(i)
+                    else:
+                        size[lo + i], final[lo + i] = sizes[row], not len(unseen) or len(c) > 0 and not _room(c, site[i], unseen)
+                        near[lo + i] = every[sorted(kept)]
+            open_ = still
+    return size, final, near
+
+
+def _alike(rows: list[int], chosen: list[set], d: int) -> list[list[int]]:
+    """Rows in lots of like numbers of neighbours, such that a lot's table of lines by bisectors stays small."""
+    lots: list[list[int]] = []
+    for i in sorted(rows, key=lambda i: len(chosen[i])):
+        if lots and (len(lots[-1]) + 1) * len(chosen[i]) ** d <= TABLE:
+            lots[-1].append(i)
+        else:
+            lots.append([i])
+    return lots
+
+
+def _room(corners: np.ndarray, site: np.ndarray, unseen: Sequence[tuple[np.ndarray, np.ndarray]]) -> bool:
+    """Whether a box has a place nearer to a corner (given from the site) than the site."""
+    for low, high in unseen:
+        nearest = np.clip(corners, low - site, high - site)
+        # as products, since squares of far corners would lose what lies near the site
+        if ((nearest * (nearest - 2 * corners)).sum(1) < 0).any():
+            return True
+    return False
 
 
 def _tile_cells(axes: list[str], side: float, low: list[float], high: list[float], far: float):
@@ -172,14 +205,18 @@ def _tile_cells(axes: list[str], side: float, low: list[float], high: list[float
         if mine.empty:  # a tile around the edge
             return pd.DataFrame(columns=[*axes, "n", "size", "final", "near"])
         tile, xyz = np.array([pdf[f"t_{a}"].iloc[0] for a in axes], float), pdf[axes].to_numpy(float)
-        sizes, reach, found = cells_of(xyz[own], xyz, [np.asarray(c, float).reshape(-1, len(axes)) for c in mine["near"]], far)
-        # all that is nearer than the edge of the tiles around has been seen; beyond the outermost positions there is nothing
-        first, last = np.asarray(low) + (tile - 1) * side, np.asarray(low) + (tile + 2) * side
-        below = np.where(first <= low, np.inf, xyz[own] - first)
-        above = np.where(last > high, np.inf, last - xyz[own])
+        # beyond the tiles around, as far as the outermost positions, lies what hasn't been seen
+        least, most = np.asarray(low), np.asarray(high)
+        first, last = least + (tile - 1) * side, least + (tile + 2) * side
+        unseen = []
+        for k in range(len(axes)):
+            if first[k] > least[k]:
+                unseen.append((least, np.where(np.arange(len(axes)) == k, first, most)))
+            if last[k] <= most[k]:
+                unseen.append((np.where(np.arange(len(axes)) == k, last, least), most))
         out = mine[[*axes, "n"]].copy()
-        out["size"] = sizes
-        out["final"] = (2 * reach < np.minimum(below, above).min(1)) | (np.isinf(below) & np.isinf(above)).all(1)
+        sizes, final, found = cells_of(xyz[own], xyz, [np.asarray(c, float).reshape(-1, len(axes)) for c in mine["near"]], far, unseen)
+        out["size"], out["final"] = sizes, final
         out["near"] = [c.ravel() for c in found]
         return out
 
