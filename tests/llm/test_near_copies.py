@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.llm import near_copies
 from tracelake.llm.near_copies import MARK_BITS, mark, near_components
 
 
@@ -71,3 +72,12 @@ def test_mark_is_a_lower_bound():
         assert bits <= n + m - 2 * both and (n + m - 2 * both - bits) % 2 == 0
         assert not (mark(x) ^ mark(x)).any()
     assert bits > MARK_BITS // 3
+
+
+def test_rows_of_a_shingle_bear_no_whole_mark(spark, monkeypatch):
+    """A text has hundreds of these rows; with 64 bytes of mark in each the stage took more disk than its limit."""
+    seen, stored = {}, near_copies.stored
+    monkeypatch.setattr(near_copies, "stored", lambda df, tag, *a: seen.setdefault(tag, df.schema.simpleString()) and stored(df, tag, *a))
+    near_components(spark.createDataFrame(list(made(random.Random(3)).items()), "doc_id long, text string")).count()
+    assert "prefix-shingles" not in seen
+    assert all("array" not in seen[tag] for tag in ("shared-shingles", "shared-by-component"))

@@ -5,8 +5,9 @@ share a shingle among the first ``n - ceil(t * n) + 1`` of each.  The order is
 by hash, with shingles from crowded buckets of a counting sketch last, so a
 passage that many texts hold hardly ever makes candidates.  A shared shingle
 that is the first common one also bounds what can still be common, and a mark of
-512 parity bits bounds from below what only one of two sets has; both bounds are
-conditions of the join, so pairs beyond them never leave it.
+512 parity bits bounds from below what only one of two sets has. The first bound, and
+the second with the bits folded to 128, are conditions of the join of all pairs; the
+whole marks meet the distinct pairs that are left.
 
 Texts of one set are one node, so copies cost nothing more.  First every node is
 compared with one node of each of its shingles; most of a group of near copies
@@ -23,12 +24,13 @@ with null ids only has a null component id; an empty table gives an empty result
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import shuffle_count, stored
@@ -133,9 +135,18 @@ def _tokens(texts: DataFrame, crowded: np.ndarray, words: int, num: int, den: in
 def _possible(a: str, b: str, num: int, den: int) -> Column:
     """Whether two sets whose first common shingle this is can reach the similarity."""
     common = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-    sizes = F.col(f"{a}.n") + F.col(f"{b}.n")
-    differ = sum(F.bit_count(F.col(f"{a}.mark")[k].bitwiseXOR(F.col(f"{b}.mark")[k])) for k in range(MARK_BITS // 64))
-    return (common * (num + den) >= sizes * num) & (differ * (num + den) <= sizes * (den - num))
+    return common * (num + den) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * num
+
+
+def _differ_little(a: list[Column], b: list[Column], sizes: Column, num: int, den: int) -> Column:
+    """Whether two sets of so many shingles together can reach the similarity with these marks."""
+    return sum(F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)) * (num + den) <= sizes * (den - num)
+
+
+def _folded() -> list[Column]:
+    """128 bits of a mark: parities again, so the bound holds with them too."""
+    words = MARK_BITS // 64
+    return [reduce(Column.bitwiseXOR, (F.col("mark")[k] for k in range(i, words, 2))) for i in range(2)]
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -169,31 +180,41 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
 def near_links(texts: DataFrame, crowded: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     """``(a, b)``: links that connect the same nodes as all pairs of similarity num / den or more do. texts: ``node, text, mark``."""
     dealt = _tokens(texts, crowded, words, num, den).repartition(shuffle_count(texts.sparkSession), "token")
-    each = stored(dealt.groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "prefix-shingles")
-    twice = each.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    marks = texts.groupBy("node").agg(F.first("mark").alias("mark"))
-    shared = stored(each.join(twice, "token").join(marks, "node").select("token", F.struct("node", "n", "pos", "mark").alias("b")), "shared-shingles")
-    release(each)
+    each = dealt.groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    often = each.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
+    shared = stored(often.select("token", F.struct("node", "n", "pos").alias("b")), "shared-shingles")
+    marks = stored(texts.groupBy("node").agg(F.first("mark").alias("mark")), "marks")
     pivots = shared.groupBy("token").agg(F.min_by("b", F.xxhash64("b.node", "token")).alias("a"))
 
     def linked(both: DataFrame) -> DataFrame:
-        pair = both.where(_possible("a", "b", num, den)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-        candidates = stored(pair.distinct(), "near-candidates")
+        """Whole marks would make a row of a shingle three times as long, so only the distinct pairs get them."""
+        first = F.col("a.node") < F.col("b.node")
+        pair = both.select(*(F.when(first, F.col(f"{x}.node")).otherwise(F.col(f"{y}.node")).alias(x) for x, y in ("ab", "ba")), (F.col("a.n") + F.col("b.n")).alias("sizes"))
+        pair = pair.distinct()
+        for k in "ab":
+            pair = pair.join(marks.select(F.col("node").alias(k), F.col("mark").alias(f"mark_{k}")), k)
+        bits = ([F.col(f"mark_{k}")[i] for i in range(MARK_BITS // 64)] for k in "ab")
+        candidates = stored(pair.where(_differ_little(*bits, F.col("sizes"), num, den)).select("a", "b"), "near-candidates")
         found = _similar(candidates, texts, words, num, den)
         release(candidates)
         return found
 
-    stars = linked(shared.join(pivots, "token").where("a.node <> b.node"))
+    stars = linked(shared.join(pivots, "token").where("a.node <> b.node").where(_possible("a", "b", num, den)))
     root = roots(stars).withColumnRenamed("node", "of")
-    named = shared.join(root, F.col("b.node") == F.col("of"), "left").select("token", F.struct("b.*", F.coalesce("root", "b.node").alias("c")).alias("b"))
-    named = stored(named, "shared-by-component")
+    named = shared.join(root, F.col("b.node") == F.col("of"), "left").select("token", "b", F.coalesce("root", "b.node").alias("c"))
     # the largest component of a token needs no comparing with itself; a token of one component none at all
-    shares = named.groupBy("token", F.col("b.c").alias("c")).agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("c", "m").alias("top"), F.count(F.lit(1)).alias("k"))
+    shares = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("c", "m").alias("top"), F.count(F.lit(1)).alias("k"))
     tops = stored(shares.where("k > 1").select("token", "top"), "top-components")
-    rest = named.join(tops, "token").where("b.c <> top").select("token", F.col("b").alias("a"))
-    more = linked(rest.join(named, "token").where("a.c <> b.c"))
+    u, v = _folded()
+    short = marks.select(F.col("node").alias("of"), u.alias("u"), v.alias("v"))
+    marked = named.join(tops, "token").join(short, F.col("b.node") == F.col("of"))
+    several = stored(marked.select("token", F.struct("b.*", "c", "u", "v").alias("b"), (F.col("c") != F.col("top")).alias("other")), "shared-by-component")
+    release(shared, tops)
+    rest = several.where("other").select("token", F.col("b").alias("a"))
+    near = _possible("a", "b", num, den) & _differ_little([F.col("a.u"), F.col("a.v")], [F.col("b.u"), F.col("b.v")], F.col("a.n") + F.col("b.n"), num, den)
+    more = linked(rest.join(several.select("token", "b"), "token").where("a.c <> b.c").where(near))
     found = stored(stars.union(more), "near-links")
-    release(shared, stars, named, tops, more)
+    release(stars, several, more, marks)
     return found
 
 
