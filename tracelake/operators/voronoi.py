@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from tracelake.storage import release, stored
 
 FIRST = {2: 12, 3: 24}  # neighbours that a cell begins with
+SMALLER = {2: 0.6, 3: 1.0}  # sides of the first tiles: a cell in the plane needs fewer positions around
 BESIDE = 1e-9  # a corner counts as nearer to another position beyond this share of its distance
 FAR = 1e5  # corners farther than this many extents count as none
 TILE = 128  # positions of a tile on average
@@ -233,7 +234,7 @@ def cells(points: DataFrame, axes: Sequence[str] = ("x", "y")) -> DataFrame:
     if not n:
         return sites.select(*axes, "n", F.lit(None).cast("double").alias("size"))
     extent = max(h - v for v, h in zip(low, high, strict=True)) or 1.0
-    size, far = _tile_size(sites, axes, low, high, n), FAR * extent
+    size, far = _tile_size(sites, axes, low, high, n) * SMALLER[d], FAR * extent
     schema = ", ".join(f"{a} double" for a in axes) + ", n long, size double, final boolean, near array<double>"
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, done = sites.withColumn("near", F.array().cast("array<double>")), []
