@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import near_copies
-from tracelake.llm.near_copies import MARK_BITS, mark, near_components
+from tracelake.llm.near_copies import MARK_BITS, mark, near_components, wide_difference, wide_mark
 
 
 def similar_groups(docs, words=5):
@@ -81,3 +81,33 @@ def test_rows_of_a_shingle_bear_no_whole_mark(spark, monkeypatch):
     near_components(spark.createDataFrame(list(made(random.Random(3)).items()), "doc_id long, text string")).count()
     assert "prefix-shingles" not in seen
     assert all("array" not in seen[tag] for tag in ("shared-shingles", "shared-by-component"))
+
+
+def test_wide_mark_is_a_lower_bound():
+    rng = np.random.default_rng(4)
+    assert wide_mark(np.arange(MARK_BITS, dtype=np.uint64)) is None
+    for n, m, both in [(513, 520, 500), (1000, 1100, 900), (3000, 2500, 100), (600, 9000, 0)]:
+        h = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64) * np.uint64(2))
+        x, y = wide_mark(h[:n]), wide_mark(h[n - both : n - both + m])
+        assert wide_difference(x, y) == wide_difference(y, x) <= n + m - 2 * both
+        assert (n + m - 2 * both - wide_difference(x, y)) % 2 == 0 and wide_difference(x, x) == 0
+    assert len(x) == 128 and len(y) == 2048
+
+
+def test_whole_sets_of_unlike_long_texts_do_not_move(spark, monkeypatch):
+    """Marks of 512 bits bound nothing for them, so their sets of some 20 KB went through two shuffles for every such pair."""
+    rng, rows, stored = random.Random(5), {}, near_copies.stored
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(4000))
+    passage = [word() for _ in range(60)]
+    docs = {i: [word() for _ in range(1500)] + passage for i in range(8)}
+    docs[8] = docs[3][:700] + ["other"] + docs[3][701:]
+
+    def counted(df, tag, *a):
+        out = stored(df, tag, *a)
+        rows[tag] = rows.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    got = near_components(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: 3 if d == 8 else d for d in docs}
+    assert rows["near-candidates"] == 1 and rows["likely-pairs"] > 10
