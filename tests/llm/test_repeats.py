@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import bytes_dedup, words_dedup
 
@@ -144,3 +145,30 @@ def test_edges(spark):
     assert any(w[:2] == (7, n7) and w[2] >= n7 - 2 for w in words)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.suffix_dedup(empty).count() == 0 and substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_only_windows_left_need_ranks(monkeypatch):
+    """Every position of the cover sample was ranked before, though most windows that share no more than an anchor differ at their ends."""
+    rng = np.random.default_rng(6)
+    some = lambda k: rng.integers(97, 123, k, dtype=np.uint8).tobytes()
+    anchor, ranked, init = some(64), [], suffix_dedup.CoverRanks.__init__
+
+    def counted(self, *args):
+        init(self, *args)
+        ranked.append(len(self.rank))
+
+    monkeypatch.setattr(suffix_dedup.CoverRanks, "__init__", counted)
+    frags = [some(200) + anchor + some(200) for _ in range(40)]
+    off, n = np.full(40, 200), np.full(40, 464 - 256 + 1)
+    assert not any(f.any() for f in suffix_dedup.repeated_windows(frags, off, n, (256, 400))) and not ranked
+    frags[7] = frags[3][:-1] + b"!"
+    near, far = suffix_dedup.repeated_windows(frags, off, n, (256, 400))
+    assert near.sum() == 2 * 208 and far.sum() == 2 * 64
+    assert len(ranked) == 1 and ranked[0] < 300  # of a cover sample of 3,592
+
+
+def test_spans_of_rows():
+    kind = pa.list_(pa.struct([("d", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
+    spans = pa.array([[{"d": 0, "a": 9, "b": 9}], None, [{"d": 0, "a": 1, "b": 4}, {"d": 1, "a": 0, "b": 2}, {"d": 0, "a": 3, "b": 6}], []], kind).slice(1)
+    got = [[repeats.mask_of(6, s, d).astype(int).tolist() for d in (0, 1)] for s in repeats.rows_of_spans(spans)]
+    assert got == [[[0] * 6, [0] * 6], [[0, 1, 1, 1, 1, 1], [1, 1, 0, 0, 0, 0]], [[0] * 6, [0] * 6]]

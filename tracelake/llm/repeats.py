@@ -278,21 +278,29 @@ def blocks(reps: DataFrame, cut: Cut, width: int, size: int) -> DataFrame:
     def run(batches):
         once = Once()
         for batch in batches:
-            for row in batch.to_pylist():
-                data, places, _ = cut(row["frag"])
-                off, n = row["off"], row["n"]
-                q = np.arange((off - n + 1) // size, off // size + 1)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                off, n = (part.column(k).to_numpy().astype(np.int64) for k in ("off", "n"))
+                low = (off - n + 1) // size
+                k = off // size + 1 - low
+                edge = np.append(0, np.cumsum(k))
+                row = np.repeat(np.arange(len(k)), k)
+                q, off, n = np.arange(len(row)) - (edge[:-1] - low)[row], off[row], n[row]
                 first, last = np.maximum(off - (q + 1) * size + 1, 0), np.minimum(off - q * size, n - 1)
-                pieces = [data[a:b] for a, b in zip(*(x.tolist() for x in places(first, last + width)), strict=True)]
-                cores = [data[a:b] for a, b in zip(*(x.tolist() for x in places(off - q * size, off - (q + 1) * size + 1 + width)), strict=True)]
-                head = row["h"].to_bytes(8, "little", signed=True)
-                keys = [xxhash.xxh3_64_intdigest(head + k.to_bytes(4, "little") + c) for k, c in zip(q.tolist(), cores, strict=True)]
-                digests = [xxhash.xxh3_128_digest(k.to_bytes(8, "little") + x) for k, x in zip(keys, pieces, strict=True)]
-                k = len(q)
-                columns = [pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), *both_halves(digests), *(pa.array([row[c]] * k, pa.int64()) for c in ("c1", "c2"))]
+                bounds = (first, last + width), (off - q * size, off - (q + 1) * size + 1 + width)
+                pieces, cores = [], []
+                for i, frag in enumerate(part.column("frag")):
+                    data, places, _ = cut(frag.as_py())
+                    own = slice(edge[i], edge[i + 1])
+                    for out, (begin, end) in zip((pieces, cores), bounds, strict=True):
+                        out += [data[a:b] for a, b in zip(*(x.tolist() for x in places(begin[own], end[own])), strict=True)]
+                heads = [h.to_bytes(8, "little", signed=True) for h in part.column("h").to_pylist()]
+                keys = [xxhash.xxh3_64_intdigest(heads[r] + x.to_bytes(4, "little") + c) for r, x, c in zip(row.tolist(), q.tolist(), cores, strict=True)]
+                digests = [xxhash.xxh3_128_digest(x.to_bytes(8, "little") + p) for x, p in zip(keys, pieces, strict=True)]
+                c1, c2, members, place = (part.column(c).take(pa.array(row)) for c in ("c1", "c2", "members", "place"))
+                columns = [pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), *both_halves(digests), c1, c2]
                 columns += [pa.array(x.astype(np.int32)) for x in (first, off - first, last - first + 1, last - first + 1)]
-                columns += [pa.array([row["members"]] * k, pa.int64()), pa.array([row["place"]] * k, batch.schema.field("place").type)]
-                columns.append(pa.array([once(d, x) for d, x in zip(digests, pieces, strict=True)], pa.binary()))
+                columns += [members, place, pa.array([once(d, x) for d, x in zip(digests, pieces, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"h long, c1 long, c2 long, p1 long, p2 long, shift int, off int, n int, m int, members long, place {place}, frag binary"
@@ -397,11 +405,17 @@ def with_spans(docs: DataFrame, cuts: DataFrame) -> DataFrame:
     return docs.join(cuts, docs["id"].eqNullSafe(cuts["kid"]) & (docs["th"] == cuts["kth"]), "left").select("id", "text", "spans")
 
 
-def mask_of(n: int, spans: list[dict] | None, depth: int = 0) -> np.ndarray:
+def rows_of_spans(spans: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The depths, starts and stops of each row's spans; none where it is null. No span becomes a Python object."""
+    d, a, b = (spans.values.field(k).to_numpy() for k in "dab")
+    edge = spans.offsets.to_numpy()
+    for i, (low, high) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        own = slice(low, high if spans[i].is_valid else low)
+        yield d[own], a[own], b[own]
+
+
+def mask_of(n: int, spans: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int = 0) -> np.ndarray:
     """Flags of n units that lie in any span of a depth."""
-    step = np.zeros(n + 1, dtype=np.int32)
-    own = [s for s in spans or () if s["d"] == depth]
-    if own:
-        np.add.at(step, [s["a"] for s in own], 1)
-        np.add.at(step, [s["b"] for s in own], -1)
-    return np.cumsum(step[:-1]) > 0
+    d, a, b = spans
+    own = d == depth
+    return np.cumsum(np.bincount(a[own], minlength=n + 1)[:n] - np.bincount(b[own], minlength=n + 1)[:n]) > 0

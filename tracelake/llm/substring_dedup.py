@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.repeats import covered, keyed, mask_of, with_spans
+from tracelake.llm.repeats import covered, keyed, mask_of, rows_of_spans, with_spans
 
 GRAM, EDGE = 8, 4
 BUDGET = 1 << 15  # suffixes of a subtree
@@ -157,9 +157,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sizes, gone, left = [], [], []
-                for text, spans in zip(part.column(1), part.column(2), strict=True):
+                for text, spans in zip(part.column(1), rows_of_spans(part.column(2)), strict=True):
                     words = text.as_py().encode().split()
-                    mask = mask_of(len(words), spans.as_py())
+                    mask = mask_of(len(words), spans)
                     sizes.append(len(words))
                     gone.append(int(mask.sum()))
                     left.append(b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m] if gone[-1] else words).decode())

@@ -6,13 +6,14 @@ of the corpus is removed at all of them.
 Candidates come from ``repeats``.  A block of candidate fragments is then sorted
 as suffixes:
 
-* the positions whose residue modulo 31 lies in a perfect difference set are
-  the cover sample; their suffixes are ranked beforehand, by 31-byte letters
-  and prefix doubling, to a depth of ``31 * 2**q`` bytes;
 * the windows are dealt to buckets by their leading bytes, and one bucket at a
-  time is sorted: by the bytes up to the next sample position, then ties by the
-  precomputed ranks of sample suffixes, then by the few bytes after them; a
-  window leaves the sort as soon as its leading bytes are its own;
+  time is sorted by these and by their last eight bytes; a window leaves the sort
+  as soon as no other one has the same;
+* the positions whose residue modulo 31 lies in a perfect difference set are
+  the cover sample; the suffixes of it that the windows left need are ranked, by
+  31-byte letters and prefix doubling, to a depth of ``31 * 2**q`` bytes;
+* a bucket's sort goes on by the bytes up to the next sample position, then ties
+  by the ranks of sample suffixes, then by the few bytes after them;
 * what is left agrees in ``length`` bytes with a neighbour in that order.
 
 Fragments are laid out with their anchors at multiples of 31, so equal windows
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.repeats import RANGES, RANGES_ARROW, covered, keyed, mask_of, ranges, with_spans
+from tracelake.llm.repeats import RANGES, RANGES_ARROW, covered, keyed, mask_of, ranges, rows_of_spans, with_spans
 
 #: A perfect difference set: every residue modulo 31 is a difference of two of these.
 PERIOD = 31
@@ -83,6 +84,7 @@ def byte_cutter(data: bytes):
 
 def _rank(key: np.ndarray) -> np.ndarray:
     """Ranks from 1; equal keys have equal ranks."""
+    key = key.astype(key.dtype.newbyteorder("="), copy=False)
     order = np.argsort(key)
     s = key[order]
     out = np.empty(len(key), dtype=np.int64)
@@ -96,15 +98,27 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class CoverRanks:
-    """Ranks of the cover sample's suffixes to a depth of ``31 * 2**q`` bytes, for windows of ``length`` bytes or more."""
+    """Ranks of the cover sample's suffixes to a depth of ``31 * 2**q`` bytes, for windows of ``lengths[0]`` bytes or more.
+
+    The sample has the positions whose ranks ``ties`` takes for windows at ``starts``, and those that these ranks are made of.
+    """
 
-    def __init__(self, data: np.ndarray, word: np.ndarray, end: int, length: int):
+    def __init__(self, data: np.ndarray, word: np.ndarray, end: int, lengths: tuple[int, ...], starts: np.ndarray):
         self.depth = PERIOD
-        while 2 * self.depth + 12 <= length:
+        while 2 * self.depth + 12 <= lengths[0]:
             self.depth *= 2
-        sample = np.flatnonzero(np.isin(np.arange(end) % PERIOD, COVER))
-        self.place = np.full(len(data), -1, dtype=np.int64)
-        self.place[sample] = np.arange(len(sample))
+        residues = np.arange(PERIOD)
+        self.to_first = np.array([min((c - r) % PERIOD for c in COVER) for r in residues])  # next sample position
+        self.gap = int(self.to_first.max()) + 1
+        first, taken = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+        first[starts + self.to_first[starts % PERIOD]] = True
+        first = np.flatnonzero(first)
+        ahead = {s + k for start, stop in zip((0, *lengths), lengths, strict=False) for s in self.steps(start, stop) for k in range(0, self.depth, PERIOD)}
+        for s in sorted(ahead):
+            taken[np.minimum(first + s, len(data) - 1)] = True
+        sample = np.flatnonzero(taken[:end])
+        self.place = np.full(len(data), -1, dtype=np.int32)
+        self.place[sample] = np.arange(len(sample), dtype=np.int32)
         rank = _rank(word[sample])
         for s in (8, 16, PERIOD - 8):
             rank = _rank(_pair(rank, _rank(word[sample + s])))
@@ -114,18 +128,19 @@ class CoverRanks:
             rank = _rank(_pair(rank, np.where(ahead >= 0, rank[ahead], 0)))
             reach *= 2
         self.rank, self.word = rank, word
-        residues = np.arange(PERIOD)
-        self.to_first = np.array([min((c - r) % PERIOD for c in COVER) for r in residues])  # next sample position
-        self.gap = int(self.to_first.max()) + 1
 
     def lead(self) -> list[int]:
         """Where the 8-byte numbers start that cover the bytes before the next sample position."""
         return [*range(0, max(self.gap - 7, 1), 8), max(self.gap - 8, 0)]
 
+    def steps(self, start: int, stop: int) -> list[int]:
+        last = (stop - self.depth - self.gap + 1) // PERIOD * PERIOD  # the last step at which every rank ends within the window
+        return [*range(max(start - self.gap, 0) // PERIOD * PERIOD, last, self.depth), last]
+
     def ties(self, start: int, stop: int) -> list:
         """Keys for the bytes from ``start`` (or a few before) to ``stop`` of windows at p: ranks, then the last few bytes."""
-        last = (stop - self.depth - self.gap + 1) // PERIOD * PERIOD  # the last step at which every rank ends within the window
-        steps = [*range(max(start - self.gap, 0) // PERIOD * PERIOD, last, self.depth), last]
+        steps = self.steps(start, stop)
+        last = steps[-1]
         keys = [lambda p, s=s: self.rank[self.place[p + self.to_first[p % PERIOD] + s]] for s in steps]
         return keys + [lambda p, s=s: self.word[p + s] for s in range(stop - 8, last + self.depth - 8, -8)]
 
@@ -158,9 +173,19 @@ def repeated_windows(frags: list[bytes], off: np.ndarray, n: np.ndarray, lengths
     start = np.repeat(base - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)
     room = np.repeat(base + np.array([len(f) for f in frags], dtype=np.int64), n) - start
     flags = [np.zeros(total, dtype=bool) for _ in lengths]
-    ranks = CoverRanks(data, word, end, lengths[0]) if lengths[0] >= 3 * PERIOD else None  # else no room for sample suffixes
-    for own in suffix_buckets(word[start], bucket):
+    left = []
+    for own in suffix_buckets(word[start], bucket):  # most windows that come once differ in their first or last bytes, and need no ranks
         own, node = _split(own, start[own] % PERIOD + 1, word[start[own]])
+        if len(own):
+            own, node = _split(own, node, word[start[own] + lengths[0] - 8])
+        if len(own):
+            left.append((own, node))
+    if not left:
+        return flags
+    ranks = None  # shorter windows have no room for sample suffixes
+    if lengths[0] >= 3 * PERIOD:
+        ranks = CoverRanks(data, word, end, lengths, start[np.concatenate([own for own, _ in left])])
+    for own, node in left:
         done = 8
         for length, flag in zip(lengths, flags, strict=True):
             fits = room[own] >= length
@@ -186,7 +211,7 @@ def suffix_buckets(lead: np.ndarray, bucket: int):
     sample = np.sort(lead[:: max(1, len(lead) // 65536)])
     splitters = np.unique(sample[:: max(1, len(sample) // pieces)])
     owner = np.searchsorted(splitters, lead, side="right")
-    order = np.argsort(owner, kind="stable")
+    order = np.argsort(owner.astype(np.uint16) if len(splitters) < 1 << 16 else owner, kind="stable")
     bounds = np.searchsorted(owner[order], np.arange(len(splitters) + 2))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a > 1:
@@ -220,10 +245,10 @@ def suffix_dedup(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sizes, found, left, repeated = [], [], [], []
-                for text, spans in zip(part.column(1), part.column(2), strict=True):
-                    data, spans = text.as_py().encode(), spans.as_py()
+                for text, spans in zip(part.column(1), rows_of_spans(part.column(2)), strict=True):
+                    data = text.as_py().encode()
                     sizes.append(len(data))
-                    if spans:
+                    if len(spans[0]):
                         gone = mask_of(len(data), spans, full)
                         found.append(ranges(gone))
                         left.append(np.frombuffer(data, dtype=np.uint8)[~gone].tobytes())
