@@ -205,3 +205,12 @@ def test_profiles_have_all_bins_and_mirrored_ends(spark):
     assert sorted(got) == list(range(6)) and np.allclose([got[k] for k in range(6)], want)
     flat = paths.detrended(paths.profile_bins(df, "y", 10.0), 0.0, 0.0).agg(F.sum("detrended")).first()[0]
     assert abs(flat) < 1e-9
+
+
+def test_pooled_values_add_up_in_row_order(spark):
+    values = [0.3, 0.2, 0.1]  # from the last row on
+    rows = [(1, 1, 4 - k, 4 - k, True, v, 4) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "tid long, isl long, row_id long, itr int, vld boolean, eco double, top int").coalesce(1)
+    total = (0.1 + 0.2) + 0.3
+    assert total != (0.3 + 0.2) + 0.1
+    assert {r.v for r in df.select(iterations.localization_value("eco", "sum").alias("v")).collect()} == {total}

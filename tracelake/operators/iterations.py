@@ -63,9 +63,10 @@ def localization_value(attribute: str, iteration: int | str, measured: Mapping[s
     """A column over rows with ``isl`` and the last iteration ``top``: the value that the iteration names, on all rows of its localization; null without any.
 
     ``all`` and ``browse`` take each row's own value.  ``sum`` and ``average``
-    pool the valid finite ones of localizations that have a valid last iteration.
+    pool the valid finite ones of localizations that have a valid last iteration,
+    in the order of rows, since the last digits of a sum depend on its order.
     """
-    own, v = Window.partitionBy("tid", "isl"), number(attribute)
+    own, v = Window.partitionBy("tid", "isl").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), number(attribute)
     if iteration in ("all", "browse"):
         return v
     ends = F.col("vld") & (F.col("itr") == F.col(top))
