@@ -92,3 +92,22 @@ def test_dbscan(crowd):
         changed, root = low != root, low
     want = {i: root[i] if i in core else min((root[j] for j in near[i] if j in core), default=-1) for i in at}
     assert -1 in want.values() and {r.id: r.cluster for r in graph.dbscan(df, 2.0, 4).collect()} == want
+
+
+def test_pairs_within_groups(crowd, monkeypatch):
+    """Links and pairs meet in tiles only: of the tables that are stored, none has a row a pair."""
+    at, df = crowd
+    near = {i: [j for j in at if gap(at[i], at[j]) <= 2.0] for i in at}
+    root, changed = {i: i for i in at}, True
+    while changed:
+        low = {i: min(root[j] for j in near[i]) for i in at}
+        changed, root = low != root, low
+    want = {(root[i], i, j): gap(at[i], at[j]) for i in at for j in at if i < j and gap(at[i], at[j]) <= 5.0 and root[i] == root[j]}
+    links = []
+    roots = graph.roots
+    monkeypatch.setattr(graph, "roots", lambda df: links.append(df.count()) or roots(df))
+    got = resampling.within_groups(df, 2.0, 5.0, ("x", "y"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.group, r.a, r.b): r.d for r in got.collect()} == pytest.approx(want)
+    assert got.columns == ["group", "a", "b", "d"] and links[0] < sum(map(len, near.values())) / 4
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
