@@ -111,3 +111,22 @@ def test_pairs_within_groups(crowd, monkeypatch):
     assert {(r.group, r.a, r.b): r.d for r in got.collect()} == pytest.approx(want)
     assert got.columns == ["group", "a", "b", "d"] and links[0] < sum(map(len, near.values())) / 4
     assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_suppression_of_a_crowd_in_batches(crowd, monkeypatch, equal):
+    """Peaks that a stronger batch suppresses are gone before tiles are dealt."""
+    at, df = crowd
+    monkeypatch.setattr(spatial, "SPARSE", 3)
+    monkeypatch.setattr(spatial, "PEAKS", 20)
+    monkeypatch.setattr(spatial, "LOOK", 2)
+    batches = []
+    suppressed = spatial._suppressed
+    monkeypatch.setattr(spatial, "_suppressed", lambda df, *a: batches.append(df.count()) or suppressed(df, *a))
+    score, kept = (lambda i: 0.0 if equal else at[i][2]), []
+    for i in sorted(at, key=lambda i: (-score(i), i)):
+        if all(gap(at[i], at[j]) > 4.0 for j in kept):
+            kept.append(i)
+    got = spatial.apart(df.select("id", "x", "y", F.lit(0.0).alias("score") if equal else F.col("z").alias("score")), 4.0)
+    assert {r.id for r in got.collect()} == set(kept)
+    assert len(batches) > 1 and sum(batches) < len(at) / 2

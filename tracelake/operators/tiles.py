@@ -68,7 +68,7 @@ def grid_of(points: DataFrame, radius: float, axes: Sequence[str] = ("x", "y"),
     return Grid(radius, wide * 2**cell, wide * 2**tile, tuple(axes), found[tile][1] > FULL)
 
 
-def _around(points: DataFrame, grid: Grid) -> DataFrame:
+def around(points: DataFrame, grid: Grid) -> DataFrame:
     """A copy for every tile within the radius, and a little beyond because of rounding."""
     for a in grid.axes:
         reach = F.lit(grid.radius * (1 + 1e-6)) + F.abs(a) * 1e-12
@@ -85,7 +85,7 @@ def by_tile(left: DataFrame, right: DataFrame, grid: Grid, work: Callable[[pa.Ta
     tiles = [f"t_{a}" for a in grid.axes]
     keys = [*by, *tiles]
     names = left.columns
-    own, near = left.select("*", *grid.tiles()), _around(right.select(*names), grid)
+    own, near = left.select("*", *grid.tiles()), around(right.select(*names), grid)
     if left is not right:
         near = near.join(own.select(*keys).distinct(), keys, "left_semi")
     if grid.crowded:  # few tiles
@@ -153,18 +153,6 @@ def meetings(a: np.ndarray, b: np.ndarray, grid: Grid, half: bool = False) -> It
                 yield i, jj, d2, max(0, int(inner[c]) - m)
 
 
-def around_cells(at: np.ndarray, grid: Grid) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The number of each row's cell, and for each cell the rows in it and in the cells around it."""
-    cells, number = np.unique(np.floor(at / grid.cell).astype(np.int64), axis=0, return_inverse=True)
-    number = number.ravel()
-    order = np.argsort(number, kind="stable")
-    rows = np.split(order, np.flatnonzero(np.diff(number[order])) + 1)
-    place = {tuple(c): k for k, c in enumerate(cells.tolist())}
-    steps = list(product((-1, 0, 1), repeat=at.shape[1]))
-    near = [[place[t] for o in steps if (t := tuple(v + w for v, w in zip(c, o, strict=True))) in place] for c in cells.tolist()]
-    return number, [np.concatenate([rows[k] for k in ks]) for ks in near]
-
-
 def once(d2: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, same: int) -> np.ndarray:
     """Blocks of half meetings: pairs within a cell count in the order of their ids."""
     if same:
