@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,21 @@ def test_suppression_of_a_crowd_in_batches(crowd, monkeypatch, equal):
     got = spatial.apart(df.select("id", "x", "y", F.lit(0.0).alias("score") if equal else F.col("z").alias("score")), 4.0)
     assert {r.id for r in got.collect()} == set(kept)
     assert len(batches) > 1 and sum(batches) < len(at) / 2
+
+
+@pytest.mark.parametrize("half", [False, True])
+def test_finer_cells_gather_little_more_than_the_radius(half):
+    rng = np.random.default_rng(3)
+    at = np.floor(rng.uniform(0, 100, (4000, 2)))  # many distances of exactly the radius
+    grid = tiles.Grid(10.0, 10.0 * (1 + 1e-9), 40.0, ("x", "y"), False, fine=4)
+    met, looked = set(), 0
+    for i, j, same in tiles.gathered(at, at, grid, half):
+        looked += len(i) * len(j)
+        d2 = ((at[i][:, None] - at[j][None]) ** 2).sum(-1)
+        if half:
+            d2[:, :same][i[:, None] >= j[None, :same]] = np.inf
+        k, m = np.nonzero(d2 <= 100)
+        met |= set(zip(np.minimum(i[k], j[m]).tolist(), np.maximum(i[k], j[m]).tolist(), strict=True)) if half else set(zip(i[k].tolist(), j[m].tolist(), strict=True))
+    want = ((at[:, None] - at[None]) ** 2).sum(-1) <= 100
+    p, q = np.nonzero(np.triu(want, 1) if half else want)
+    assert met == set(zip(p.tolist(), q.tolist(), strict=True)) and looked < 2.2 * len(p)
