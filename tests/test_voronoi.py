@@ -140,3 +140,19 @@ def test_cells_on_the_edge_of_a_set_are_final_in_their_tile():
     # not if the set goes on where that may matter
     lower = voronoi._tile_cells(["x", "y"], 20.0, [0.0, -50.0], [999.0, 9.0], 1e5 * 999)(pdf.assign(t_y=2))
     assert lower["final"].sum() < 200 and not lower["final"][lower["y"] == 0].any()
+
+
+def test_many_cells_of_the_plane_at_once(monkeypatch):
+    """Cells among the nearest positions, many at once: the same as one by one, which few still need."""
+    rng = np.random.default_rng(4)
+    xy = np.unique(np.concatenate([rng.uniform(0, 30, (700, 2)), np.floor(rng.uniform(0, 30, (400, 2))), rng.normal(15, 0.2, (200, 2))]), axis=0)
+    own = xy[(np.abs(xy - 15) < 10).all(1)]
+    none = [np.zeros((0, 2))] * len(own)
+    unseen = [(np.array([30.0, 0.0]), np.array([99.0, 99.0]))]
+    want = voronoi.cells_of(own, xy, none, 1e6, unseen)
+    left, one_by_one = [], voronoi.cells_of
+    monkeypatch.setattr(voronoi, "cells_of", lambda own, *a: left.append(len(own)) or one_by_one(own, *a))
+    got = voronoi.plane_cells(own, xy, none, 1e6, unseen)
+    np.testing.assert_allclose(got[0], want[0], rtol=1e-9)
+    assert (got[1] == want[1]).all() and sum(left) < len(own) / 4
+    assert all({tuple(p) for p in a.tolist()} == {tuple(p) for p in b.tolist()} for a, b in zip(got[2], want[2], strict=True))

@@ -36,13 +36,18 @@ from pyspark.sql import functions as F
 from tracelake.storage import release, stored
 
 FIRST = {2: 12, 3: 24}  # neighbours that a cell begins with
-SMALLER = {2: 0.6, 3: 1.0}  # sides of the first tiles: a cell in the plane needs fewer positions around
+SIDES = {2: 2.0, 3: 1.0}  # of the first tiles, by the side of TILE positions: those in the plane see little around them
+MARGIN = {2: 0.25, 3: 1.0}  # sides of a tile that its task sees around it
+TOGETHER = 256  # cells in the plane at once
+SPOT = 48  # positions of a tile in the plane that are looked at together, and nearest ones that each meets at first
+ROUNDS = 8  # of neighbours from among these
 BESIDE = 1e-9  # a corner counts as nearer to another position beyond this share of its distance
 FAR = 1e5  # corners farther than this many extents count as none
 TILE = 128  # positions of a tile on average
 CROWD = 1024  # and at most
 FEW = 8  # a tile with fewer positions isn't worth a look yet
 ROWS = 64  # cells that a task computes at once
+SLACK = 1e-9  # sides of a tile that positions are dealt beyond its margin
 TABLE = 1 << 18  # and neighbours, to the power of the dimensions, of them together
 
 
@@ -176,6 +181,112 @@ def cells_of(own: np.ndarray, block: np.ndarray, carried: list[np.ndarray], far:
     return size, final, near
 
 
+def plane_cells(own: np.ndarray, block: np.ndarray, carried: list[np.ndarray], far: float, unseen: Sequence[tuple[np.ndarray, np.ndarray]] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """As ``cells_of``, in the plane: many cells at once among the nearest positions of each, and the others by ``cells_of``."""
+    n, met = len(own), []
+    size, final, near, done = np.full(n, np.inf), np.zeros(n, bool), [np.zeros((0, 2))] * n, np.zeros(n, bool)
+
+    def settle() -> None:
+        if not met:
+            return
+        part, others, away, known = map(np.concatenate, zip(*met, strict=True))
+        met.clear()
+        done[part], size[part], final[part], found = _nearest_cells(own[part], others, away, known, far, unseen)
+        for i, f in zip(part[done[part]].tolist(), found, strict=True):
+            near[i] = f
+
+    low, high = block.min(0), block.max(0)
+    step = math.sqrt(max(float(np.prod(high - low)), 1e-300) * SPOT / max(len(block), 1))
+    last = np.floor((high - low) / step).astype(np.int64) if np.prod(high - low) > 0 else None
+    if last is not None and len(block) > SPOT and last.max() < 1 << 20:
+        spot, all_spots = (np.floor((p - low) / step).astype(np.int64) for p in (own, block))
+        key = all_spots[:, 0] * (last[1] + 3) + all_spots[:, 1]
+        block_of = block[np.argsort(key, kind="stable")]
+        key = np.sort(key)
+        quick = np.flatnonzero(np.array([not len(c) for c in carried], bool))
+        mine = spot[quick, 0] * (last[1] + 3) + spot[quick, 1]
+        order = quick[np.argsort(mine, kind="stable")]
+        for rows in np.split(order, np.flatnonzero(np.diff(np.sort(mine))) + 1):
+            if not len(rows):
+                continue
+            x, y = spot[rows[0]]
+            edges = [(np.searchsorted(key, u * (last[1] + 3) + max(y - 1, 0)), np.searchsorted(key, u * (last[1] + 3) + y + 1, "right")) for u in range(max(x - 1, 0), x + 2)]
+            some = np.concatenate([block_of[a:b] for a, b in edges])
+            if len(some) <= SPOT:
+                continue
+            at = np.array([x, y])
+            # the block goes on beyond what is looked at, unless that is its edge
+            least, most = np.where(at > 1, low + (at - 1) * step, -np.inf), np.where(at + 1 < last, low + (at + 2) * step, np.inf)
+            for k in range(0, len(rows), TOGETHER):
+                part = rows[k : k + TOGETHER]
+                met.append((part, *_nearest(own[part], some, np.minimum(own[part] - least, most - own[part]).min(1))))
+                if sum(len(m[0]) for m in met) >= TOGETHER:
+                    settle()
+        settle()
+    rest = np.flatnonzero(~done)
+    if len(rest):
+        sizes, sure, found = cells_of(own[rest], block, [carried[i] for i in rest], far, unseen)
+        size[rest], final[rest] = sizes, sure
+        for i, f in zip(rest.tolist(), found, strict=True):
+            near[i] = f
+    return size, final, near
+
+
+def _nearest(site: np.ndarray, some: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of positions that are all within the limit: each site's nearest, their squared distances, and up to which of these nothing is left out."""
+    away = (some[:, 0] - site[:, :1]) ** 2 + (some[:, 1] - site[:, 1:]) ** 2
+    away[away == 0] = np.inf
+    at = np.argpartition(away, SPOT - 1, 1)[:, :SPOT]
+    at = np.take_along_axis(at, np.take_along_axis(away, at, 1).argsort(1), 1)
+    away = np.take_along_axis(away, at, 1)
+    return some[at], away, np.minimum(away[:, -1], np.maximum(limit, 0) ** 2)
+
+
+def _nearest_cells(site: np.ndarray, others: np.ndarray, away: np.ndarray, known: np.ndarray, far: float, unseen: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Cells of sites among the nearest positions of each: which could be told, sizes, whether they are final; neighbours of those that could."""
+    n = len(site)
+    to = np.where(np.isfinite(away)[..., None], others - site[:, None], 0.0)
+    chosen = np.isfinite(away)
+    chosen[:, FIRST[2] :] = False
+    got, size, final, borders = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, bool), np.zeros((n, SPOT), bool)
+    left = np.arange(n)
+    for _ in range(ROUNDS):
+        pick = np.argsort(~chosen[left], 1, kind="stable")[:, : chosen[left].sum(1).max()]
+        valid = np.take_along_axis(chosen[left], pick, 1)
+        bears, sizes, corners = faces(site[left], others[left[:, None], pick], valid, far)
+        c = corners - site[left][:, None]
+        real = ~np.isnan(c[..., 0])
+        c[~real] = 0.0
+        mine = (c * c).sum(-1)
+        k = pick.shape[1]  # a corner of a closed cell is the lower end of one face and the upper end of another
+        p, q = np.nonzero(real[:, :k])
+        nearer = np.einsum("mk,m->mk", to[left, :, 0][p], c[p, q, 0] * -2)
+        nearer += to[left, :, 1][p] * (c[p, q, 1] * -2)[:, None]
+        nearer += away[left][p]
+        first = np.zeros((len(left), 2 * k), np.int64)
+        first[p, q] = nearer.argmin(1)
+        closer = nearer[np.arange(len(p)), first[p, q]] < -BESIDE * mine[p, q]
+        p, q = p[closer], q[closer]
+        hit = np.zeros((len(left), SPOT), bool)
+        hit[p, first[p, q]] = True
+        hit &= ~chosen[left]
+        kept = np.zeros((len(left), SPOT), bool)
+        np.put_along_axis(kept, pick, bears & valid, 1)
+        more = hit.any(1)
+        told = ~more & real.any(1) & (4 * mine.max(1) * (1 + BESIDE) < known[left])
+        room = np.zeros(len(left), bool)
+        for low, high in unseen:
+            nearest = np.clip(c, low - site[left][:, None], high - site[left][:, None])
+            room |= (((nearest * (nearest - 2 * c)).sum(-1) < 0) & real).any(1)
+        one = left[told]
+        got[one], size[one], final[one], borders[one] = True, sizes[told], ~room[told], kept[told]
+        chosen[left[more]] = (kept | hit)[more]
+        left = left[more]
+        if not len(left):
+            break
+    return got, size, final, [others[i][borders[i]] for i in np.flatnonzero(got)]
+
+
 def _alike(rows: list[int], chosen: list[set], d: int) -> list[list[int]]:
     """Rows in lots of like numbers of neighbours, such that a lot's table of lines by bisectors stays small."""
     lots: list[list[int]] = []
@@ -197,8 +308,10 @@ def _room(corners: np.ndarray, site: np.ndarray, unseen: Sequence[tuple[np.ndarr
     return False
 
 
-def _tile_cells(axes: list[str], side: float, low: list[float], high: list[float], far: float):
-    """A task's work: the cells of a tile's own positions among all that it was dealt."""
+def _tile_cells(axes: list[str], side: float, low: list[float], high: list[float], far: float, least: int = 1):
+    """A task's work: the cells of a tile's own positions among all that it was dealt; of final ones the neighbours that must be told of them."""
+    margin = MARGIN[len(axes)]
+    work = plane_cells if len(axes) == 2 else cells_of
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["own"].to_numpy(bool)
@@ -206,19 +319,30 @@ def _tile_cells(axes: list[str], side: float, low: list[float], high: list[float
         if mine.empty:  # a tile around the edge
             return pd.DataFrame(columns=[*axes, "n", "size", "final", "near"])
         tile, xyz = np.array([pdf[f"t_{a}"].iloc[0] for a in axes], float), pdf[axes].to_numpy(float)
-        # beyond the tiles around, as far as the outermost positions, lies what hasn't been seen
-        least, most = np.asarray(low), np.asarray(high)
-        first, last = least + (tile - 1) * side, least + (tile + 2) * side
+        # beyond what is seen around the tile, as far as the outermost positions, lies what hasn't been seen
+        start, end = np.asarray(low), np.asarray(high)
+        first, last = start + (tile - margin) * side, start + (tile + 1 + margin) * side
         unseen = []
         for k in range(len(axes)):
-            if first[k] > least[k]:
-                unseen.append((least, np.where(np.arange(len(axes)) == k, first, most)))
-            if last[k] <= most[k]:
-                unseen.append((np.where(np.arange(len(axes)) == k, last, least), most))
+            if first[k] > start[k]:
+                unseen.append((start, np.where(np.arange(len(axes)) == k, first, end)))
+            if last[k] <= end[k]:
+                unseen.append((np.where(np.arange(len(axes)) == k, last, start), end))
         out = mine[[*axes, "n"]].copy()
-        sizes, final, found = cells_of(xyz[own], xyz, [np.asarray(c, float).reshape(-1, len(axes)) for c in mine["near"]], far, unseen)
+        sizes, final, found = work(xyz[own], xyz, [np.asarray(c, float).reshape(-1, len(axes)) for c in mine["near"]], far, unseen)
         out["size"], out["final"] = sizes, final
-        out["near"] = [c.ravel() for c in found]
+        # a neighbour has not met the position if its own tile has too few positions or sees too little
+        counts = np.array([len(f) for f in found])
+        there, here = (np.concatenate(found) - start) / side, np.repeat((xyz[own] - start) / side, counts, axis=0)
+        tiles_of = np.floor(there)
+        unmet = ((tiles_of < np.floor(here - (margin + SLACK))) | (tiles_of > np.floor(here + (margin + SLACK)))).any(1)
+        if least > 1 and len(there):
+            every, many = np.unique(np.floor((xyz - start) / side), axis=0, return_counts=True)
+            few = {tuple(t) for t in every[many < least].tolist()}
+            unmet |= np.array([tuple(t) in few for t in tiles_of.tolist()], bool) if few else False
+        wanted = unmet | ~np.repeat(final, counts)
+        sizes_of = np.bincount(np.repeat(np.arange(len(found)), counts), wanted, len(found)).astype(int)
+        out["near"] = [c.ravel() for c in np.split(np.concatenate(found)[wanted], np.cumsum(sizes_of)[:-1])]
         return out
 
     return run
@@ -234,7 +358,7 @@ def cells(points: DataFrame, axes: Sequence[str] = ("x", "y")) -> DataFrame:
     if not n:
         return sites.select(*axes, "n", F.lit(None).cast("double").alias("size"))
     extent = max(h - v for v, h in zip(low, high, strict=True)) or 1.0
-    size, far = _tile_size(sites, axes, low, high, n) * SMALLER[d], FAR * extent
+    size, far = _tile_size(sites, axes, low, high, n) * SIDES[d], FAR * extent
     schema = ", ".join(f"{a} double" for a in axes) + ", n long, size double, final boolean, near array<double>"
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, done = sites.withColumn("near", F.array().cast("array<double>")), []
@@ -245,20 +369,22 @@ def cells(points: DataFrame, axes: Sequence[str] = ("x", "y")) -> DataFrame:
         least = FEW if size < extent else 1
         busy = stored(here.groupBy(*(f"o_{a}" for a in axes)).count().where(F.col("count") >= least).select(*(F.col(f"o_{a}").alias(f"t_{a}") for a in axes)), "busy-tiles")
         dealt, own = here, F.lit(True)
-        for a in axes:
-            dealt = dealt.withColumn(f"t_{a}", F.explode(F.sequence(F.col(f"o_{a}") - 1, F.col(f"o_{a}") + 1)))
+        for a, v in zip(axes, low, strict=True):
+            at = (F.col(a) - v) / size
+            dealt = dealt.withColumn(f"t_{a}", F.explode(F.sequence(F.floor(at - (MARGIN[d] + SLACK)), F.floor(at + (MARGIN[d] + SLACK)))))
             own = own & (F.col(f"o_{a}") == F.col(f"t_{a}"))
         at = [f"t_{a}" for a in axes]
         dealt = dealt.select(*axes, "n", F.when(own, F.col("near")).alias("near"), own.alias("own"), *at).join(busy, at, "left_semi")
-        found = stored(dealt.repartition(parts, *at).groupBy(*at).applyInPandas(_tile_cells(axes, size, low, high, far), schema), "cells")
+        found = stored(dealt.repartition(parts, *at).groupBy(*at).applyInPandas(_tile_cells(axes, size, low, high, far, least), schema), "cells")
         done.append(found.where("final").select(*axes, "n", F.when(F.col("size") < float("inf"), F.col("size")).alias("size")))
         waiting = here.join(busy.toDF(*(f"o_{a}" for a in axes)), [f"o_{a}" for a in axes], "left_anti").select(*axes, "n", "near")
-        # those that wait haven't met the positions that are done now; these name them as neighbours
+        # what goes on hasn't met all positions that are done now; these name it as a neighbour
         named = found.where("final").where(F.size("near") > 0).select(*(F.col(a).alias(f"by_{a}") for a in axes), F.explode(F.sequence(F.lit(0), F.size("near") - d, F.lit(d))).alias("k"), "near")
         named = named.select(*(F.col("near")[F.col("k") + i].alias(a) for i, a in enumerate(axes)), F.array(*(f"by_{a}" for a in axes)).alias("by"))
-        told = waiting.join(named, axes).groupBy(*axes).agg(F.flatten(F.collect_list("by")).alias("by"))
-        waiting = waiting.join(told, axes, "left").select(*axes, "n", F.when(F.col("by").isNull(), F.col("near")).otherwise(F.concat("near", "by")).alias("near"))
-        left = stored(found.where("NOT final").select(*axes, "n", "near").unionAll(waiting), "open-cells")
+        open_ = found.where("NOT final").select(*axes, "n", "near").unionAll(waiting)
+        told = open_.join(named, axes).groupBy(*axes).agg(F.flatten(F.collect_list("by")).alias("by"))
+        open_ = open_.join(told, axes, "left").select(*axes, "n", F.when(F.col("by").isNull(), F.col("near")).otherwise(F.concat("near", "by")).alias("near"))
+        left = stored(open_, "open-cells")
         if left.isEmpty():
             break
         size *= 4
