@@ -177,3 +177,11 @@ def test_weighted_depth_in_a_crowd(spark, monkeypatch):
         run = {z: math.fsum(w for v, w in near if v <= z) for z, _ in near}
         assert got[i] == min(z for z in run if run[z] >= total / 2 - 1e-9) or abs(run[got[i]] - total / 2) < 1e-9
     assert len(got) == len(at)
+
+
+def test_points_are_dealt_once(spark):
+    """A tile's own points are among those around it; they aren't shuffled a second time."""
+    df = spark.createDataFrame([(k, float(k % 9), float(k // 9)) for k in range(81)], "id long, x double, y double")
+    got = spatial.band_pairs(df, 1.0, 1.0)
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.a, r.b) for r in got.collect()} == {(k, k + 1) for k in range(81) if k % 9 < 8} | {(k, k + 9) for k in range(72)}
